@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, language_id, packing, token_counts, toxicity
+from . import chat, common, decontamination, language_id, packing, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,19 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = decontamination.hit_words().cast("long")
+    return found.select(
+        "doc_id",
+        F.col("n_words").cast("long").alias("n_words"),
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = common.fold(F.col("doc_id")) == 0
@@ -24,6 +37,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = common.fold(F.col("doc_id")) == 0
@@ -36,5 +53,41 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.histogram(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op5_language_id, op9_toxicity, op10_token_counts)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_decontamination, op5_language_id, op6_chat_formatting, op9_toxicity, op10_token_counts)}
+
+SQL: dict[str, str] = {
+    "op3_decontamination": r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+item AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT item, l, array_to_string(w[i + 1 : i + l], ' ') AS t
+  FROM (SELECT item, w, l, unnest(range(0, len(w) - l + 1)) AS i FROM (SELECT item, w, least(len(w), 10) AS l FROM item WHERE len(w) > 0))),
+hit AS (
+  SELECT DISTINCT d.r, d.i, d.l, win.item
+  FROM (SELECT r, l, i, array_to_string(w[i + 1 : i + l], ' ') AS t
+        FROM (SELECT r, w, l, unnest(range(0, len(w) - l + 1)) AS i FROM doc, (SELECT DISTINCT l FROM win) WHERE len(w) >= l)) AS d
+  JOIN win ON win.l = d.l AND win.t = d.t),
+covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + l)) AS p FROM hit) GROUP BY r),
+named AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+""",
+    "op6_chat_formatting": r"""
+WITH turns AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn ASC NULLS LAST, role, text) AS t FROM turns GROUP BY conv_id),
+whole AS (SELECT t, min(conv_id) AS conv_id, count(*) AS n_copies FROM conv GROUP BY t),
+proper AS (SELECT DISTINCT t[1:i] AS t FROM (SELECT t, unnest(range(1, len(t))) AS i FROM conv))
+SELECT conv_id, CAST(len(t) AS BIGINT) AS n_turns, n_copies,
+       list_reduce(list_transform(t, lambda x: '<|im_start|>' || replace(x.role, '<|', '< |') || chr(10) || replace(x.text, '<|', '< |') || '<|im_end|>' || chr(10)), lambda a, b: a || b) AS text
+FROM whole WHERE t NOT IN (SELECT t FROM proper)
+""",
+}
