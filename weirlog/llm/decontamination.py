@@ -35,13 +35,22 @@ def shape(window: int) -> tuple[int, int]:
     return k, window - k + 1
 
 
-def fingerprints(df: DataFrame, window: int) -> DataFrame:
-    """Adds `prints`: for each position of `words` the smallest gram hash of the window that starts there."""
+def bound(value: Column, body) -> Column:
+    """body(value) with value worked out once a row: Catalyst may repeat an expression, but not a lambda's argument."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def prints(words: Column, window: int) -> Column:
+    """For each position of the words the smallest gram hash of the window that starts there."""
     k, grams = shape(window)
-    df = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    df = df.withColumn("grams", F.transform("hashes", lambda h, i: F.xxhash64(F.lit(window), h, *(F.get(F.col("hashes"), i + n) for n in range(1, k)))))
-    smallest = (lambda h, i: F.least(h, *(F.get(F.col("grams"), i + n) for n in range(1, grams)))) if grams > 1 else (lambda h, i: h)
-    return df.withColumn("prints", F.transform("grams", smallest)).drop("hashes", "grams")
+
+    def grams_of(hashes: Column) -> Column:
+        return F.transform(hashes, lambda h, i: F.xxhash64(F.lit(window), h, *(F.get(hashes, i + n) for n in range(1, k))))
+
+    def smallest(gram: Column) -> Column:
+        return F.transform(gram, lambda g, i: F.least(g, *(F.get(gram, i + n) for n in range(1, grams)))) if grams > 1 else gram
+
+    return bound(F.transform(words, lambda w: F.xxhash64(w)), lambda hashes: bound(grams_of(hashes), smallest))
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
@@ -50,8 +59,8 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     items = items.where(F.size("words") > 0).withColumn("length", F.least(F.size("words"), F.lit(window)))
     found = None
     for length in sorted({window, *(r.length for r in items.select("length").distinct().collect())}):  # at most `window` lengths
-        own = fingerprints(items.where(F.col("length") == length), length)
-        own = own.select("item", "words", "length", F.posexplode(F.slice("prints", F.lit(1), F.size("words") - length + 1)).alias("start", "print"))
+        own = items.where(F.col("length") == length)
+        own = own.select("item", "words", "length", F.posexplode(F.slice(prints(F.col("words"), length), F.lit(1), F.size("words") - length + 1)).alias("start", "print"))
         own = own.select("item", "length", "print", F.concat_ws(" ", F.slice("words", F.col("start") + 1, F.lit(length))).alias("window_text"))
         found = own if found is None else found.unionByName(own)
     return found.groupBy("length", "print", "window_text").agg(F.collect_set("item").alias("items"))
@@ -67,10 +76,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_
     none = F.array(F.lit(None).cast("long"))
     hits = None
     for length in sorted({window, *sizes}, reverse=True):
-        prints = windows.where(F.col("length") == length).select("print", F.lit(True).alias("met")).distinct()
-        heads = length == window
-        own = fingerprints(base, length).select("doc_id", "text_key", "words", F.posexplode(F.concat(none, "prints")).alias("at", "print"))
-        own = own.join(small(prints), "print", "left").where(F.col("met") | (F.col("at") == 0) if heads else F.col("met"))
+        known = windows.where(F.col("length") == length).select("print", F.lit(True).alias("met")).distinct()
+        heads = length == window  # the headers come once
+        own = base.withColumn("prints", F.concat(none, prints(F.col("words"), length)))  # a column of its own, so that what follows runs in one generated stage
+        own = own.select("doc_id", "text_key", "words", F.posexplode("prints").alias("at", "print"))
+        own = own.join(small(known), "print", "left").where(F.col("met") | (F.col("at") == 0) if heads else F.col("met"))
         text = F.when(F.col("at") > 0, F.concat_ws(" ", F.slice("words", F.greatest("at", F.lit(1)), F.lit(length))))
         own = own.select("doc_id", "text_key", F.size("words").alias("n_words"), F.when(F.col("at") > 0, F.col("at") - 1).alias("start"), F.lit(length).alias("length"), text.alias("window_text"))
         hits = own if hits is None else hits.unionByName(own)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontamination, language_id, packing, token_counts, toxicity
+from . import chat, common, decontamination, language_id, ngram_lm, packing, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ngram_lm.scored(docs.select("doc_id", "text", (common.fold(F.col("doc_id")) == 1).alias("held_out")))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = common.fold(F.col("doc_id")) == 0
@@ -53,7 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.histogram(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_decontamination, op5_language_id, op6_chat_formatting, op9_toxicity, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_decontamination, op4_lm_scoring, op5_language_id, op6_chat_formatting, op9_toxicity, op10_token_counts)}
 
 SQL: dict[str, str] = {
     "op3_decontamination": r"""
