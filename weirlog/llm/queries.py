@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontamination, language_id, ngram_lm, packing, token_counts, toxicity
+from . import chat, common, decontamination, jaccard_join, language_id, ngram_lm, packing, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted(table(spark, sf_dir, "conversations"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = common.fold(F.col("doc_id")) == 0
@@ -58,7 +62,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.histogram(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_decontamination, op4_lm_scoring, op5_language_id, op6_chat_formatting, op9_toxicity, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_decontamination, op4_lm_scoring, op5_language_id, op6_chat_formatting, op7_jaccard_join, op9_toxicity, op10_token_counts)}
 
 SQL: dict[str, str] = {
     "op3_decontamination": r"""
