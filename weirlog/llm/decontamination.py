@@ -66,13 +66,17 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     return found.groupBy("length", "print", "window_text").agg(F.collect_set("item").alias("items"))
 
 
+def text_key(text: str = "text") -> Column:
+    """Two hashes that tell texts apart."""
+    return F.struct(F.xxhash64(text).alias("h0"), F.xxhash64(F.lit(1), text).alias("h1"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_broadcast: int = 1_000_000) -> DataFrame:
     """For each document: doc_id, text_key (two hashes of its text), n_words, spans (start and length of hit windows), items."""
     windows = common.materialise(item_windows(benchmark, window), "windows")
     sizes = {r["length"]: r["count"] for r in windows.groupBy("length").count().collect()}  # at most `window` rows
     small = F.broadcast if sum(sizes.values()) <= most_broadcast else (lambda df: df)
-    key = [F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
-    base = docs.select("doc_id", F.struct(*(k.alias(f"h{i}") for i, k in enumerate(key))).alias("text_key"), words("text").alias("words"))
+    base = docs.select("doc_id", text_key().alias("text_key"), words("text").alias("words"))
     none = F.array(F.lit(None).cast("long"))
     hits = None
     for length in sorted({window, *sizes}, reverse=True):
