@@ -6,17 +6,24 @@ program declares.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirlog.compose import compose
 from weirlog.plans.check import program_of
 from weirlog.plans.fixpoint import evaluate
+from weirlog.requests import with_requests
+from weirlog.session import Session
+from weirlog.sources import checkpoint
+from weirlog.sources.shared import shared_folder
 from weirlog.sources.tables import relation_of
+from weirlog.streaming.feed import Feed
 from weirlog.types import Schema
+from weirlog.worlds import run_scenarios
 
 #: A node of the conversation graph: a turn of a conversation as one number.
 TURN = F.col("conv_id") * 1000 + F.col("turn")
@@ -141,3 +148,163 @@ SQL: dict[str, str] = {
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(PROGRAMS)
+
+
+# Queries that run a whole session
+
+
+def session_with(spark: SparkSession, sf_dir: str, query: str) -> tuple[Session, Query]:
+    """A session that has a query's program installed and its tables loaded."""
+    one = PROGRAMS[query]
+    session = Session(spark)
+    session.install(one.rules, one.schemas(), one.operators)
+    session.load(one.relations(spark, sf_dir))
+    return session, one
+
+
+def apply_then_retract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closure after a bridge was inserted and a stretch of the graph deleted."""
+    session, one = session_with(spark, sf_dir, "closure")
+    change = lambda op, *values: {"op": op, "predicate": "next", "values": list(values)}
+    session.apply([change("insert", 0, 1000), change("insert", 7, 7)])
+    session.apply([change("delete", 0, 1), change("delete", 7, 7)])
+    return session.query("path").toDF(*one.columns.split())
+
+
+def delta_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one transaction changes in the closure."""
+    session, one = session_with(spark, sf_dir, "closure")
+    change = lambda op, *values: {"op": op, "predicate": "next", "values": list(values)}
+    done = session.apply([change("delete", 0, 1), change("insert", 0, 1000)])
+    return done.deltas["path"].select(F.col("f0").alias("source"), F.col("f1").alias("target"), F.col("weight").cast("long").alias("weight"))
+
+
+def why_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The witnesses of the rule that pairs suppliers of a nation."""
+    return session_with(spark, sf_dir, "self_join_lt")[0].why(0).select(F.col("A").alias("a"), F.col("B").alias("b"), F.col("N").alias("n"))
+
+
+def bounded_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three pages of a derived relation, one after the other."""
+    session, one = session_with(spark, sf_dir, "semi_wildcard")
+    rows, cursor = [], None
+    for _ in range(3):
+        page = session.query_bounded("urgent", {1: "BUILDING"}, max_rows=40, cursor=cursor)
+        rows, cursor = rows + page.rows, page.cursor
+        if cursor is None:
+            break
+    return spark.createDataFrame(rows, session.schemas["urgent"].struct).toDF(*one.columns.split())
+
+
+def checkpoint_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A derived relation after its session was saved as tables and restored."""
+    session, one = session_with(spark, sf_dir, "anti_join")
+    folder = f"{shared_folder(spark)}/checkpoints"
+    saved = checkpoint.save_tables(session, folder)
+    other = Session(spark)
+    checkpoint.restore_tables(other, folder, saved["publication_id"])
+    return other.query(one.result).toDF(*one.columns.split())
+
+
+PIPELINE_NODES = {
+    "urgent": {"rules": 'urgent(O,C) :- placed(O,C,"1-URGENT").', "schemas": {"placed": {"input": True, "fields": ["int", "int", "string"]}, "urgent": {"input": False, "fields": ["int", "int"]}}, "interface": {"inputs": ["placed"], "outputs": ["urgent"]}},
+    "building": {"rules": 'scratch(O,C) :- urgent(O,C), customer(C,"BUILDING"). chosen(O,C) :- scratch(O,C).', "schemas": {"urgent": {"input": True, "fields": ["int", "int"]}, "customer": {"input": True, "fields": ["int", "string"]}, "scratch": {"input": False, "fields": ["int", "int"]}, "chosen": {"input": False, "fields": ["int", "int"]}}, "interface": {"inputs": ["urgent", "customer"], "outputs": ["chosen"]}},
+    "large": {"rules": "large(O,C) :- chosen(O,C), item(O,_,_,Q), Q >= 45.0.", "schemas": {"chosen": {"input": True, "fields": ["int", "int"]}, "item": {"input": True, "fields": ["int", "int", "int", "double"]}, "large": {"input": False, "fields": ["int", "int"]}}, "interface": {"inputs": ["chosen", "item"], "outputs": ["large"]}},
+}
+END = lambda node, relation: {"node": node, "relation": relation}
+PIPELINE = {
+    "nodes": {n: {"name": n} for n in PIPELINE_NODES},
+    "inputs": {
+        "placed": {"fields": ["int", "int", "string"], "targets": [END("urgent", "placed")]},
+        "customer": {"fields": ["int", "string"], "targets": [END("building", "customer")]},
+        "item": {"fields": ["int", "int", "int", "double"], "targets": [END("large", "item")]},
+    },
+    "bindings": [{"from": END("urgent", "urgent"), "to": END("building", "urgent")}, {"from": END("building", "chosen"), "to": END("large", "chosen")}],
+    "outputs": {"large": END("large", "large")},
+}
+NESTED = {
+    "nodes": {"inner": {"name": "pipeline"}},
+    "inputs": {n: {"fields": x["fields"], "targets": [END("inner", n)]} for n, x in PIPELINE["inputs"].items()},
+    "bindings": [],
+    "outputs": {"large": END("inner", "large")},
+}
+
+
+def composed(spark: SparkSession, sf_dir: str, manifest: dict, version: int) -> DataFrame:
+    made = compose(manifest, lambda reference: {"composition": PIPELINE} if reference["name"] == "pipeline" else PIPELINE_NODES[reference["name"]], version)
+    tables = {"placed": ORDERS["orders"], "customer": CUSTOMERS["customer"], "item": ITEMS["item"]}
+    inputs = {made.resolution.inputs[n]: relation_of(spark.read.parquet(f"{sf_dir}/{i.table}.parquet"), i.columns, Schema(True, tuple(i.fields.split()))) for n, i in tables.items()}
+    result = made.resolution.outputs["large"]
+    return evaluate(spark, made.program, inputs, [result])[result].toDF("orderkey", "custkey")
+
+
+def composition_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three nodes in a row, bindings used in place."""
+    return composed(spark, sf_dir, PIPELINE, 2)
+
+
+def composition_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same inside another composition, bindings copied."""
+    return composed(spark, sf_dir, NESTED, 1)
+
+
+def request_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a request, the finished ones answered."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    key, text = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    session = Session(spark)
+    session.install(*with_requests("reviewed(E,R,O) :- agent_result(E,R,O).", {"reviewed": {"input": False, "fields": ["string", "int", "string"]}}))
+    named = lambda df, *columns: relation_of(df, columns, Schema(True, tuple("int" if c is key else "string" for c in columns)))
+    done = orders.where("o_orderstatus = 'F'")
+    session.load({"agent_intent": named(orders, text, text, key, text), "agent_current": named(orders, text, text), "agent_claimed": named(done, text), "agent_response": named(done, text, F.concat(F.lit("ok "), text))})
+    return session.query("reviewed").toDF("entity", "revision", "output")
+
+
+def scenario_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report over three scenarios about all regions, of which the last expects what is not so."""
+    regions = sorted(r.r_regionkey for r in spark.read.parquet(f"{sf_dir}/region.parquet").collect())
+    change = lambda op, predicate, v: {"op": op, "predicate": predicate, "values": [v]}
+
+    def fresh() -> Session:
+        session = Session(spark)
+        session.install("open(X) :- source(X), !closed(X).", {"source": {"input": True, "fields": ["int"]}, "closed": {"input": True, "fields": ["int"]}, "open": {"input": False, "fields": ["int"]}})
+        return session
+
+    scenarios = [
+        {"name": "all", "changes": [change("insert", "source", r) for r in regions], "expect": {"open": [[r] for r in regions]}},
+        {"name": "closed", "changes": [change("insert", "closed", r) for r in regions[1:]], "expect": {"open": [[regions[0]]]}},
+        {"name": "wrong", "changes": [change("delete", "closed", regions[1])], "expect": {"open": [[regions[0]], [-1]]}},
+    ]
+    report = run_scenarios(fresh, scenarios)
+    found = [(s["name"], s["passed"], sum(len(r["missing"]) for r in s["results"]), sum(len(r["unexpected"]) for r in s["results"])) for s in report["scenarios"]]
+    return spark.createDataFrame(found, "name string, passed boolean, missing long, unexpected long")
+
+
+def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users with purchases but no errors, kept by a stream of the events as changes."""
+    one = PROGRAMS["event_negation"]
+    session = Session(spark)
+    session.install(one.rules, one.schemas())
+    folder = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+    changes = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string, value double, props string").format("parquet").load(f"{sf_dir}/events.parque[t]")
+    stream = changes.select(F.lit("insert").alias("op"), F.col("user_id").alias("f0"), F.col("event_type").alias("f1"), F.col("value").alias("f2"))
+    query = Feed(session, "event").start(stream, folder)
+    query.awaitTermination()
+    return session.query("smooth").toDF("user_id")
+
+
+BRIDGED = "edge2 AS (SELECT x, y FROM edge WHERE NOT (x = 0 AND y = 1) UNION SELECT 0, 1000 FROM conversations a, conversations b WHERE a.conv_id = 0 AND a.turn = 0 AND b.conv_id = 1 AND b.turn = 0), path2(x, y) AS (SELECT x, y FROM edge2 UNION SELECT path2.x, edge2.y FROM path2 JOIN edge2 ON path2.y = edge2.x)"
+PIPELINE_SQL = "SELECT DISTINCT o_orderkey AS orderkey, o_custkey AS custkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority = '1-URGENT' AND c_mktsegment = 'BUILDING' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity >= 45)"
+SQL |= {
+    "apply_then_retract": f"{PATHS}, {BRIDGED} SELECT DISTINCT x AS source, y AS target FROM path2",
+    "delta_weights": f"{PATHS}, {BRIDGED} SELECT x AS source, y AS target, CAST(-1 AS BIGINT) AS weight FROM (SELECT x, y FROM path EXCEPT SELECT x, y FROM path2) UNION ALL SELECT x, y, CAST(1 AS BIGINT) FROM (SELECT x, y FROM path2 EXCEPT SELECT x, y FROM path)",
+    "why_bindings": "SELECT DISTINCT a.s_suppkey AS a, b.s_suppkey AS b, CAST(a.s_nationkey AS BIGINT) AS n FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey",
+    "bounded_page": f"SELECT custkey, segment FROM ({SQL['semi_wildcard']}) WHERE segment = 'BUILDING' ORDER BY custkey LIMIT 120",
+    "checkpoint_roundtrip": SQL["anti_join"],
+    "composition_pipeline": PIPELINE_SQL,
+    "composition_nested": PIPELINE_SQL,
+    "request_results": "SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS entity, o_orderkey AS revision, 'ok ' || CAST(o_orderkey AS VARCHAR) AS output FROM orders WHERE o_orderstatus = 'F'",
+    "scenario_report": "SELECT * FROM (VALUES ('all', TRUE, CAST(0 AS BIGINT), CAST(0 AS BIGINT)), ('closed', TRUE, 0, 0), ('wrong', FALSE, 1, 1)) t(name, passed, missing, unexpected)",
+    "change_feed": SQL["event_negation"],
+}
+QUERIES |= {f.__name__: f for f in (apply_then_retract, delta_weights, why_bindings, bounded_page, checkpoint_roundtrip, composition_pipeline, composition_nested, request_results, scenario_report, change_feed)}
