@@ -68,7 +68,7 @@ def sizes(plain: bytes, made: list[zstandard.ZstdCompressor], piece: int = 1000,
     return [sum(len(x.compress(p)) for p in parts) for x in made]
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], level: int = 3, least_margin: float = 0.002) -> DataFrame:
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], level: int = 3, least_margin: float = 0.001) -> DataFrame:
     """docs with lang_pred, score, margin and rejected; docs needs a text, other columns stay as they are.
 
     margin is what the second smallest encoding is larger than the smallest, relative to it. A column of
