@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,20 +85,45 @@ def _recursive(spark: SparkSession, program: Program, stratum: tuple[str, ...],
         before = after
 
 
-def evaluate(spark: SparkSession, program: Program, inputs: Mapping[str, DataFrame], wanted: Iterable[str] | None = None, known: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+def readers(program: Program, needed: Iterable[str]) -> Counter[str]:
+    """How often each relation is read by the rules and operators of the needed relations."""
+    found: Counter[str] = Counter()
+    for r in needed:
+        found.update(a.predicate for c in program.rules_of(r) for a in c.body if isinstance(a, Atom))
+    for o in program.operators:
+        found.update(o.reads if o.output in needed else ())
+    return found
+
+
+def evaluate(spark: SparkSession, program: Program, inputs: Mapping[str, DataFrame], wanted: Iterable[str] | None = None, known: Mapping[str, DataFrame] | None = None, stored: Iterable[str] = ()) -> dict[str, DataFrame]:
     """The derived relations that are wanted (all, if not told) and what they need.
 
-    inputs: rows of the input relations as sets; known: derived relations that need not be computed again.
+    inputs: rows of the input relations as sets; known: derived relations that need not be computed again;
+    stored: relations of either that are tables already. A derived relation that several atoms read, and
+    whatever rounds of recursion or an operator read again and again, is written once and not computed anew.
     """
     relations = {r: inputs[r] if r in inputs else empty(spark, program.schemas[r]) for r in program.inputs} | dict(known or {})
-    needed = program.needed(wanted if wanted is not None else program.derived)
+    wanted = set(wanted if wanted is not None else program.derived)
+    needed, stored = program.needed(wanted), set(stored)
+    reads = readers(program, needed) + Counter(wanted)
+
+    def store(names: Iterable[str]) -> None:
+        for r in sorted(set(names) - stored):
+            relations[r] = materialise(relations[r], "relation")
+            stored.add(r)
+
     for stratum in program.strata:
         if needed.isdisjoint(stratum) or all(r in relations for r in stratum):
             continue
+        again = {a.predicate for r in stratum for c in program.rules_of(r) for a in c.body if isinstance(a, Atom)} - set(stratum)
+        again = again if program.recursive(stratum) else {n for o in program.operators if o.output in stratum for n in o.reads}
+        store(again)
         if program.recursive(stratum):
             relations |= _recursive(spark, program, stratum, relations)
         else:
             relations[stratum[0]] = _plain(spark, program, stratum[0], relations)
+            if reads[stratum[0]] > 1:
+                store(stratum)
     return {r: df for r, df in relations.items() if r not in program.inputs and r in needed}
 
 

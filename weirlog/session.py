@@ -91,7 +91,7 @@ class Session:
                 if old.input and program.schemas.get(r) != old:
                     raise RuleError(f"Input schema of {r} cannot change while facts are retained")
         inputs = {r: self.inputs[r] if r in self.inputs else empty(self.spark, program.schemas[r]) for r in program.inputs}
-        results = self._kept(evaluate(self.spark, program, inputs, self._exports(program)))
+        results = self._kept(evaluate(self.spark, program, inputs, self._exports(program), stored=inputs))
         self.program, self.inputs, self.results = program, inputs, results
         self.revision, self.program_version, self.health = self.revision + 1, self.program_version + 1, "healthy"
         return self.revision
@@ -201,7 +201,7 @@ class Session:
             if can_extend(program, stratum, changed, grown):
                 fresh = extend(self.spark, program, stratum, relations, self.results, {r: df for r, df in new.items() if r in changed})
             else:
-                fresh = evaluate(self.spark, program, inputs, stratum, results)
+                fresh = evaluate(self.spark, program, inputs, stratum, results, {*inputs, *results})
             for r in stratum:
                 results[r] = relations[r] = materialise(fresh[r], "result")
                 delta = self._delta(self.results[r], results[r], program.schemas[r])
