@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,6 +116,16 @@ def address(url: str | None) -> tuple[str, str]:
     return host.lower(), re.sub(r"\.html?$", "", path.rstrip("/"))
 
 
+def squeezed(lines: list[str]) -> bytes:
+    """Lines (which hold no line break) as they travel."""
+    return zstandard.ZstdCompressor(level=3).compress("\n".join(lines).encode("utf-8", "replace"))
+
+
+def spread(raw: bytes) -> list[str]:
+    text = zstandard.ZstdDecompressor().decompress(raw, max_output_size=1 << 31).decode()
+    return text.split("\n") if text else []
+
+
 def shared(a: list[str], b: list[str]) -> set[int]:
     """Which lines of a are in a longest common subsequence with b (rows of bits, then a walk back)."""
     masks: dict[str, int] = {}
@@ -170,18 +181,18 @@ def text_of(page: Page, around: list[tuple[str, str, list[str]]], copy: float) -
 
 def extracted(pages: DataFrame, copy: float = 0.8) -> DataFrame:
     """page_id, url, text, n_chars. A page of which at least the share `copy` is shared keeps its lines."""
-    columns = "page_id long, url string, host string, path string, lines array<string>, marked boolean"
+    columns = "page_id long, url string, host string, path string, lines binary, marked boolean"
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for few in common.rows(batch, "html", 8_000_000):
                 urls = few.column("url").to_pylist()
                 places, read = [address(x) for x in urls], [lines_of(x) for x in few.column("html").to_pylist()]
-                arrays = [pa.array([x[i] for x in places], pa.string()) for i in (0, 1)] + [pa.array([x[0] for x in read], pa.list_(pa.string())), pa.array([x[1] for x in read], pa.bool_())]
+                arrays = [pa.array([x[i] for x in places], pa.string()) for i in (0, 1)] + [pa.array([squeezed(x[0]) for x in read], pa.binary()), pa.array([x[1] for x in read], pa.bool_())]
                 yield pa.RecordBatch.from_arrays([few.column("page_id"), few.column("url"), *arrays], ["page_id", "url", "host", "path", "lines", "marked"])
 
     def neighbour(page: Page | None) -> dict | None:
-        return page and {"host": page.host, "path": page.path, "lines": page.lines}
+        return page and {"host": page.host, "path": page.path, "lines": squeezed(page.lines)}
 
     def row(page: Page, part: int, before: Page | None, after: Page | None, first: bool, last: bool) -> dict:
         """A finished row, or one at an edge, which still needs a neighbour from another partition."""
@@ -190,9 +201,9 @@ def extracted(pages: DataFrame, copy: float = 0.8) -> DataFrame:
         return {"page_id": page.page_id, "url": page.url, "text": None if edge else text_of(page, around, copy), "part": part, "last": last and not first, "own": vars_of(page) if edge else None, "before": neighbour(before) if edge else None, "after": neighbour(after) if edge else None}
 
     def vars_of(page: Page) -> dict:
-        return {"host": page.host, "path": page.path, "lines": page.lines, "marked": page.marked}
+        return {"host": page.host, "path": page.path, "lines": squeezed(page.lines), "marked": page.marked}
 
-    near_type = pa.struct([("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.string()))])
+    near_type = pa.struct([("host", pa.string()), ("path", pa.string()), ("lines", pa.binary())])
     out_type = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("part", pa.int32()), ("last", pa.bool_()), ("own", pa.struct([*near_type, ("marked", pa.bool_())])), ("before", near_type), ("after", near_type)])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +212,7 @@ def extracted(pages: DataFrame, copy: float = 0.8) -> DataFrame:
         first = True
         for batch in batches:
             for few in batch.to_pylist() if batch.num_rows else ():
-                after = Page(**few)
+                after = Page(**few | {"lines": spread(few["lines"])})
                 if page:
                     out.append(row(page, part, before, after, first, False))
                     size, first, before = size + sum(map(len, page.lines)), False, page
@@ -218,15 +229,15 @@ def extracted(pages: DataFrame, copy: float = 0.8) -> DataFrame:
         for batch in batches:
             texts = []
             for x in batch.to_pylist():
-                page = Page(x["page_id"], x["url"], **x["own"])
-                around = [(y["host"], y["path"], y["lines"]) for y in (x["before"], x["after"]) if y]
+                page = Page(x["page_id"], x["url"], **x["own"] | {"lines": spread(x["own"]["lines"])})
+                around = [(y["host"], y["path"], spread(y["lines"])) for y in (x["before"], x["after"]) if y]
                 texts.append({"page_id": page.page_id, "url": page.url, "text": text_of(page, around, copy)})
             yield pa.RecordBatch.from_pylist(texts, pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())]))
 
     parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(parse, columns)
     dealt = parsed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    near = "struct<host: string, path: string, lines: array<string>>"
-    met = common.materialise(dealt.mapInArrow(compare, f"page_id long, url string, text string, part int, last boolean, own struct<host: string, path: string, lines: array<string>, marked: boolean>, before {near}, after {near}"), "pages")
+    near = "struct<host: string, path: string, lines: binary>"
+    met = common.materialise(dealt.mapInArrow(compare, f"page_id long, url string, text string, part int, last boolean, own struct<host: string, path: string, lines: binary, marked: boolean>, before {near}, after {near}"), "pages")
     order = Window.partitionBy(F.lit(0)).orderBy("part", "last")  # two rows a partition
     own = F.struct("own.host", "own.path", "own.lines")
     edges = met.where("own IS NOT NULL").withColumns({"before": F.coalesce("before", F.lag(own).over(order)), "after": F.coalesce("after", F.lead(own).over(order))})
