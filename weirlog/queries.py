@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirlog.compose import compose
@@ -26,17 +26,17 @@ from weirlog.types import Schema
 from weirlog.worlds import run_scenarios
 
 #: A node of the conversation graph: a turn of a conversation as one number.
-TURN = F.col("conv_id") * 1000 + F.col("turn")
+TURN = "conv_id * 1000 + turn"
 
 
 @dataclass(frozen=True)
 class Input:
-    """Columns of a table as an input relation, of the rows that hold a condition."""
+    """Columns (SQL expressions) of a table as an input relation, of the rows that hold a condition."""
 
     table: str
-    columns: Sequence[str | Column]
+    columns: Sequence[str]
     fields: str
-    where: str | Column | None = None
+    where: str | None = None
 
 
 @dataclass(frozen=True)
@@ -59,7 +59,7 @@ class Query:
         for name, i in self.inputs.items():
             table = spark.read.parquet(f"{sf_dir}/{i.table}.parquet")
             table = table.where(i.where) if i.where is not None else table
-            found[name] = relation_of(table, i.columns, Schema(True, tuple(i.fields.split())))
+            found[name] = relation_of(table, [F.expr(c) for c in i.columns], Schema(True, tuple(i.fields.split())))
         return found
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,11 +74,11 @@ REGIONS = {"region": Input("region", ["r_regionkey"], "int")}
 ITEMS = {"item": Input("lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity"], "int int int double")}
 DEBT = {"buyer": Input("customer", ["c_nationkey", "c_acctbal"], "int double"), "seller": Input("supplier", ["s_nationkey", "s_acctbal"], "int double")}
 TURNS = {"turn": Input("conversations", ["conv_id", "turn", "role", TURN], "int int string int")}
-NEXT = {"next": Input("conversations", [TURN, TURN + 1], "int int", F.col("turn") < 7)}
+NEXT = {"next": Input("conversations", [TURN, f"{TURN} + 1"], "int int", "turn < 7")}
 CLOSURE = "edge(X,Y) :- next(X,Y), turn(_,_,_,X), turn(_,_,_,Y). "
 CLOSED = {"edge": "int int", "path": "int int"}
 LINEAR = "path(X,Y) :- edge(X,Y). path(X,Z) :- path(X,Y), edge(Y,Z). "
-TRADE = {"trade": Input("lineitem", ["l_orderkey", "l_suppkey", "l_quantity", "l_discount"], "int int double double"), "orders": Input("orders", ["o_orderkey", "o_custkey"], "int int"), "double": Input("supplier", ["s_suppkey", F.col("s_suppkey") + 1_000_000_000], "int int")}
+TRADE = {"trade": Input("lineitem", ["l_orderkey", "l_suppkey", "l_quantity", "l_discount"], "int int double double"), "orders": Input("orders", ["o_orderkey", "o_custkey"], "int int"), "double": Input("supplier", ["s_suppkey", "s_suppkey + 1000000000"], "int int")}
 
 PROGRAMS: dict[str, Query] = {
     "projection_set": Query("ps(P,S) :- item(_,P,S,_).", ITEMS, {"ps": "int int"}, "ps", "partkey suppkey"),
