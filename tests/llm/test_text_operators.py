@@ -218,7 +218,7 @@ def test_pages_differ_from_their_neighbours(spark, parts):
         for i in range(6):
             assert found[i].text == f"Article {i} says something of its own"
         assert found[10].text == "All rights reserved" and found[11].text == "" == found[12].text
-        assert found[13].text == found[14].text == "same text\nagain" and found[15].text == "Site name" and found[15].n_chars == 9
+        assert found[13].text == found[14].text == "same text\n\nagain" and found[15].text == "Site name" and found[15].n_chars == 9
         assert html_text.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
@@ -230,5 +230,5 @@ def test_pages_of_the_table(spark):
     for r in found:
         inner = pages[r.page_id].split("<article>")[1].split("</article>")[0]
         lines = (re.sub(r"\s+", " ", html_module.unescape(re.sub("<[^>]*>", "", x))).strip() for x in re.split("<br>|</?p>|</?h1>", inner))
-        assert r.text == "\n".join(x for x in lines if x)
+        assert r.text == "\n\n".join(x for x in lines if x) and r.n_chars == len(r.text)
     assert len(found) == len(pages)

@@ -7,7 +7,7 @@ article (article or main elements), only lines inside are text. What remains of
 with the page of the nearest URL on the same host (the longest common path, then the smaller path): the
 lines are aligned by longest common subsequence and shared lines are deleted, since a site repeats its
 furniture and not its articles. Lines inside a marked article are not deleted, nor are those of a page
-that is nearly all shared: that is a copy of an article, not furniture.
+that is nearly all shared: that is a copy of an article, not furniture. What stays is joined by empty lines.
 
 Pages are sorted by host and path over range partitions, so a host of any size spreads over many tasks;
 each task compares neighbours as they stream by, and the first and last page of each partition (two rows
@@ -176,7 +176,7 @@ def text_of(page: Page, around: list[tuple[str, str, list[str]]], copy: float) -
         gone = shared(lines, min(same_host, key=nearness)[2])
         if sum(len(lines[i]) for i in gone) < copy * sum(map(len, lines)):
             lines = [x for i, x in enumerate(lines) if i not in gone]
-    return "\n".join(lines)
+    return "\n\n".join(lines)
 
 
 def extracted(pages: DataFrame, copy: float = 0.8) -> DataFrame:
