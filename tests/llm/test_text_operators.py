@@ -104,6 +104,9 @@ def test_language_identification(spark, edge):
     found = language_id.identify(docs.where(held_out), learned).collect()
     assert np.mean([r.lang == r.lang_pred for r in found]) > 0.95 and all(0 <= r.score <= 1 for r in found)
     assert np.mean([r.rejected for r in found]) < 0.02
+    assert next(iter(learned)) == "en" and language_id.letters("Of Of of, the 12 the OF") == b"of the of"
+    tied = language_id.identify(spark.createDataFrame([("a",)], "text string"), {"y": b"some words", "x": b"some words"}).first()
+    assert (tied.lang_pred, tied.margin, tied.rejected) == ("y", 0.0, True)
     told = language_id.identify(edge, learned)
     assert told.columns.count("score") == 1 and [r.lang_pred for r in told.where("text IS NULL OR text = ''").collect()] == ["und", "und"]
     assert told.where("rejected").count() >= 2 and language_id.identify(spark.createDataFrame([("1 2 3 !²",)], "text string"), learned).first().lang_pred == "und"

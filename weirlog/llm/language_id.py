@@ -3,12 +3,12 @@
 Each language gets a raw-content zstandard dictionary of its own text. A text is encoded once with each
 dictionary and belongs to the language whose encoding is smallest; where the two smallest sizes are
 nearly the same, the text is rejected. Texts are lower-cased and runs of anything but letters become one
-space, so that capitals, digits and symbols say nothing. The whole text counts: it is encoded in pieces,
-since in a long piece its own history would hide the dictionary. Of a short text every rotation by words
+space, so that capitals, digits and symbols say nothing; a word that repeats in a row is one word, or its
+own history would hide the dictionary. The whole text counts: it is encoded in pieces, for the same reason. Of a short text every rotation by words
 is encoded, which tells sizes apart by less than a byte.
 
-Null texts and texts without a letter give 'und', rejected, with score 0. Ties go to the language that
-sorts first. Texts without labels are never learned from. Without a learned language all is 'und'.
+Null texts and texts without a letter give 'und', rejected, with score 0. Ties go to the language with more
+labelled texts, then to the one that sorts first. Texts without labels are never learned from. Without a learned language all is 'und'.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import pyarrow as pa
 import zstandard
@@ -29,21 +30,22 @@ NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str | None) -> bytes:
-    """The text's words in lower case, joined by single spaces; empty if it has no letter."""
+    """The text's words in lower case, runs of one word as one, joined by single spaces; empty if it has no letter."""
     if not text:
         return b""
-    plain = NO_LETTERS.sub(" ", text.lower()).strip()
+    plain = " ".join(word for word, _ in groupby(NO_LETTERS.sub(" ", text.lower()).split()))
     return plain.encode("utf-8", "replace") if any(map(str.isalpha, plain)) else b""
 
 
 def learn(labelled: DataFrame, per_language: int = 500, dictionary_bytes: int = 512_000, longest: int = 20_000) -> dict[str, bytes]:
-    """A dictionary for each language, from at most per_language texts of at most longest characters."""
+    """A dictionary for each language, from at most per_language texts of at most longest characters; frequent languages first."""
+    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row a language
     known = labelled.where(F.col("lang").isNotNull() & (F.length("text") <= longest) & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
     texts: dict[str, dict[bytes, None]] = {}
     for r in common.bounded_sample(known, "lang", "doc_id", per_language).orderBy("lang", F.xxhash64("doc_id"), "doc_id", "text").toLocalIterator():
         if plain := letters(r.text):
             texts.setdefault(r.lang, {})[plain] = None
-    return {lang: b" ".join(x)[:dictionary_bytes] for lang, x in sorted(texts.items())}
+    return {lang: b" ".join(x)[:dictionary_bytes] for lang, x in sorted(texts.items(), key=lambda x: (-counts[x[0]], x[0]))}
 
 
 @lru_cache(maxsize=8)
@@ -84,7 +86,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], level: int = 3, le
         plain = letters(text)
         if not plain or not made:
             return "und", 0.0, 0.0, True
-        ranked = sorted(zip(sizes(plain, made), names, strict=True))
+        ranked = sorted(zip(sizes(plain, made), names, strict=True), key=lambda x: x[0])  # names stand in the order for ties
         margin = (ranked[1][0] - ranked[0][0]) / ranked[0][0] if len(ranked) > 1 else 1.0
         return ranked[0][1], 0.5 + 0.5 * math.tanh(10 * margin), margin, margin < least_margin
 
