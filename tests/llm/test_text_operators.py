@@ -133,7 +133,7 @@ def test_toxicity(spark, edge):
     made = toxicity.automaton(mine.key())
     assert toxicity.measured(toxicity.folded("clown fish"), made) == (0.0, 0.0)
     assert toxicity.measured(toxicity.folded("a cl0wn stupidly"), made)[0] == pytest.approx(np.log1p(5.0))
-    assert toxicity.measured(toxicity.folded("unstupid clownish"), made) == (0.0, 0.0)
+    assert toxicity.measured(toxicity.folded("unstupid clownish stup"), made) == (0.0, 0.0)
 
 
 def plain_contamination(docs, items, window=10):

@@ -2,7 +2,7 @@
 
 Texts are folded first: letters of other alphabets that look like Latin ones, digits and symbols that
 stand for letters, and letters that are drawn alike come to one form. An Aho-Corasick automaton then
-finds the lexicon's words, beginnings of words and exception phrases in one pass. A match inside an
+finds the lexicon's words, beginnings of longer words and exception phrases in one pass. A match inside an
 exception phrase does not count. The sum of the weights, as it is and by the text's length, goes
 through a logistic curve.
 
@@ -59,7 +59,7 @@ def folded(text: str | None) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Weights by pattern: whole words, beginnings of words (with a closing *), and exception phrases."""
+    """Weights by pattern: whole words, beginnings of longer words (with a closing *), and exception phrases."""
 
     weights: dict[bytes, float] = field(default_factory=dict)
     exceptions: tuple[bytes, ...] = ()
@@ -93,6 +93,8 @@ def measured(words: list[bytes], made: ahocorasick.Automaton | None) -> tuple[fl
     found, exempt = {}, []
     for end, (weight, length) in made.iter(text):
         begin = text.rfind(" ", 0, end) + 1 if text[end] != " " else end - length
+        if text[end] != " " and text[end + 1] == " ":  # a beginning is one of longer words
+            continue
         if weight is None:
             exempt.append((end - length, end))
         else:  # a word counts once, by its largest weight
