@@ -96,7 +96,7 @@ def test_probing_finds_every_code_within_the_radius():
     index, query = rng.integers(0, 256, (400, 4), np.uint8), rng.integers(0, 256, (20, 4), np.uint8)
     for radius in (0, 1, 5, 9, 12, 32):
         distance = np.bitwise_count(query[:, None] ^ index[None]).sum(2)
-        assert (ann.probed(query, index, radius) == (distance <= radius)).all()
+        assert (ann.probed(query, ann.Tables.of(index), radius) == (distance <= radius)).all()
 
 
 def sets_of(docs, n=5):

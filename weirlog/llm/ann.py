@@ -21,6 +21,7 @@ once. Ties go to the smaller id. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -62,21 +63,40 @@ def codes(vectors: np.ndarray, mean: np.ndarray, rotation: np.ndarray) -> np.nda
     return np.packbits((vectors - mean) @ rotation > 0, axis=1)
 
 
-def probed(query: np.ndarray, index: np.ndarray, radius: int) -> np.ndarray:
+@dataclass(frozen=True)
+class Tables:
+    """The codes of a block and a table a substring: rows in the order of their value there, and where each value starts."""
+
+    codes: np.ndarray
+    order: np.ndarray
+    starts: np.ndarray
+
+    @classmethod
+    def of(cls, codes: np.ndarray) -> Tables:
+        order = np.argsort(codes, axis=0, kind="stable")
+        return cls(codes, order, np.array([np.searchsorted(codes[o, i], np.arange(257)) for i, o in enumerate(order.T)]))
+
+    def entries(self, i: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of all these values in table i, and how many each value has."""
+        first, n = self.starts[i, values], self.starts[i, values + 1] - self.starts[i, values]
+        return self.order[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum()), i], n
+
+
+def probed(query: np.ndarray, index: Tables, radius: int) -> np.ndarray:
     """Which codes of the index (columns) are within the radius of each query (rows), by the substrings' tables."""
-    m = index.shape[1]
+    size, m = index.codes.shape
     s, a = divmod(radius, m)
-    met = np.zeros((len(query), len(index)), bool)
-    values = np.arange(256, dtype=np.uint8)
+    met = np.zeros((len(query), size), bool)
     for i in range(m):
         reach = s if i <= a else s - 1
         if reach >= 0:
-            entries = np.bitwise_count(query[:, i][:, None] ^ values[None]) <= reach  # the entries to look up in table i
-            met |= entries[:, index[:, i]]
+            asking, values = np.nonzero(np.bitwise_count(query[:, i][:, None] ^ np.arange(256, dtype=np.uint8)) <= reach)
+            found, n = index.entries(i, values)
+            met[np.repeat(asking, n), found] = True
     rows, cols = np.nonzero(met)
     distance = np.zeros(len(rows), np.uint16)
     for i in range(m):
-        distance += np.bitwise_count(query[rows, i] ^ index[cols, i])
+        distance += np.bitwise_count(query[rows, i] ^ index.codes[cols, i])
     met[rows, cols] = distance <= radius
     return met
 
@@ -102,7 +122,7 @@ def searched(queries: DataFrame, rows: DataFrame, k: int, size: int, model: tupl
         if len(a) and len(b):
             b = b.drop_duplicates("vec_id") if b["vec_id"].is_unique else b[~pd.DataFrame({"i": b["vec_id"], "v": [np.asarray(x).tobytes() for x in b["vector"]]}).duplicated().to_numpy()]
             query, index, ids = matrix(a["vector"], size), matrix(b["vector"], size), b["vec_id"].to_numpy()
-            of_index = codes(index, *model) if model else None
+            of_index = Tables.of(codes(index, *model)) if model else None
             for lo in range(0, len(a), 256):
                 some = query[lo : lo + 256]
                 met = probed(codes(some, *model), of_index, radius) if model else None
