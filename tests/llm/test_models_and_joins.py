@@ -91,6 +91,23 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(few, few).count() == 12
 
 
+@pytest.mark.parametrize("spread", [0.01, 0.0])
+def test_isolated_queries_get_their_neighbours(spark, spread, n=1200):
+    """Tight clusters (or exact copies) set a small radius; the few vectors far from all others still get k exact rows."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 16))
+    vectors = centres[np.arange(n) % 20] + spread * rng.normal(size=(n, 16))
+    vectors[::100] = 3 * rng.normal(size=(12, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    asked = [*range(0, n, 50), 7, 8]
+    found = {}
+    for r in ann.nearest(df, df.where(df["vec_id"].isin(asked)), index_block=500, query_block=20).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    for q in asked:
+        d = np.sqrt(np.square(vectors - vectors[q]).sum(1))
+        assert found.get(q) == [i for i in np.lexsort((np.arange(n), d)).tolist() if i != q][:10]
+
+
 def test_probing_finds_every_code_within_the_radius():
     rng = np.random.default_rng(2)
     index, query = rng.integers(0, 256, (400, 4), np.uint8), rng.integers(0, 256, (20, 4), np.uint8)

@@ -9,10 +9,15 @@ within r. Those codes are checked in full and the vectors of the ones that pass
 distance in double precision.
 
 The index covers all rows, in blocks of bounded size; a query meets every block and brings home its k best
-of each, so identical or crowded vectors fill a block's answer but never a task. The radius is set before
+of each, so identical or crowded vectors fill a block's answer but never a task. A first radius is set before
 the search: `probes` vectors are compared with all rows exactly, and the radius is the least that covers
 the wanted share of their true neighbours.
 
+It only makes the first search short. A bit that differs puts a corner's wall between two vectors, so their
+squared distance is at least the sum of the query's squared projections on the differing axes. Hence a query's
+k-th distance gives the radius beyond which nothing nearer can lie. A query whose first radius is less is
+searched again with its own, to all rows if need be (always if it has fewer than k): the answer is exact.
+
 Vectors that are null, zero, hold null or non-finite components, have no id or another length than most of
 the sample take no part. A row with the query's id is the query's own. Rows with equal id and vector count
 once. Ties go to the smaller id. Other columns are ignored.
@@ -33,6 +38,9 @@ from . import common
 
 OUT = "query_id long, vec_id long, score double"
 
+#: So many bits a substring and the tables' entries are so many that all codes are compared instead.
+WIDE = 2
+
 
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, vector) of the rows that take part."""
@@ -111,10 +119,47 @@ def best(query_ids: np.ndarray, query: np.ndarray, ids: np.ndarray, index: np.nd
             yield own, ids[at][order], score[order]
 
 
-def searched(queries: DataFrame, rows: DataFrame, k: int, size: int, model: tuple | None, radius: int, blocks: tuple[int, int]) -> DataFrame:
-    """The k best of each pair of blocks; without a model every vector is compared."""
+def closest(query_ids: np.ndarray, query: np.ndarray, ids: np.ndarray, index: np.ndarray, mean: np.ndarray, k: int, within: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query the k nearest of all, of those within its distance at least; products of matrices choose what is compared in double precision."""
+    a, b = query - mean, index - mean
+    norms = np.square(a).sum(1)[:, None] + np.square(b).sum(1)[None]
+    far, slack = norms - 2.0 * (a @ b.T), 1e-9 * norms
+    for i, own in enumerate(query_ids):
+        other = np.flatnonzero(ids != own)
+        most, least = far[i, other] + slack[i, other], far[i, other] - slack[i, other]
+        bound = min(within[i] ** 2 * (1 + 1e-9), np.partition(most, k - 1)[k - 1] if len(most) > k else np.inf)
+        at = other[~(least > bound)]
+        if len(at):
+            score = np.sqrt(np.square(index[at] - query[i]).sum(1))
+            order = np.lexsort((ids[at], score))[:k]
+            yield own, ids[at][order], score[order]
+
+
+def reach(query: np.ndarray, mean: np.ndarray, rotation: np.ndarray, within: np.ndarray) -> np.ndarray:
+    """For each query the radius that holds the code of every vector within its distance (all bits, if that is infinite)."""
+    centred = query - mean
+    error = 1e-9 * (np.sqrt(np.square(centred).sum(1)) + np.where(np.isfinite(within), within, 0.0) + np.sqrt(np.square(mean).sum()))
+    walls = np.sort(np.square(np.maximum(np.abs(centred @ rotation) - error[:, None], 0.0)), axis=1)
+    return (~(np.cumsum(walls, axis=1) > (within**2 * (1 + 1e-9))[:, None])).sum(1)
+
+
+def unsettled(asked: DataFrame, found: DataFrame, k: int, size: int, model: tuple, radius: int) -> DataFrame:
+    """(vec_id, vector, within): the queries whose radius leaves out what may be nearer than their k-th; within is its distance, infinite if there are fewer."""
+    last = found.groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("last"))
+    held = asked.join(last, asked["vec_id"] == last["query_id"], "left").select("vec_id", "vector", F.when(F.col("n") >= k, F.col("last")).otherwise(F.lit(float("inf"))).alias("within"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for own in batches:
+            yield own[reach(matrix(own["vector"], size), *model, own["within"].to_numpy()) > radius]
+
+    return held.mapInPandas(run, "vec_id long, vector array<double>, within double")
+
+
+def searched(queries: DataFrame, rows: DataFrame, k: int, size: int, model: tuple | None, radius: int | None, blocks: tuple[int, int]) -> DataFrame:
+    """The k best of each pair of blocks; without a model every vector is compared, without a radius (queries with `within`) each query has its own."""
     numbered = [df.withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(n)).cast("int")) for df, n in zip((queries, rows), blocks, strict=True)]
-    left = numbered[0].select(F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks[1] - 1))).alias("j"), "vec_id", "vector")
+    own = [F.col("within")] if radius is None else []
+    left = numbered[0].select(F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks[1] - 1))).alias("j"), "vec_id", "vector", *own)
     right = numbered[1].select(F.explode(F.sequence(F.lit(0), F.lit(blocks[0] - 1))).alias("i"), F.col("block").alias("j"), "vec_id", "vector")
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -123,11 +168,21 @@ def searched(queries: DataFrame, rows: DataFrame, k: int, size: int, model: tupl
             b = b.drop_duplicates("vec_id") if b["vec_id"].is_unique else b[~pd.DataFrame({"i": b["vec_id"], "v": [np.asarray(x).tobytes() for x in b["vector"]]}).duplicated().to_numpy()]
             query, index, ids = matrix(a["vector"], size), matrix(b["vector"], size), b["vec_id"].to_numpy()
             of_index = Tables.of(codes(index, *model)) if model else None
+            asking, within, radii = a["vec_id"].to_numpy(), None, None
+            if radius is None:
+                within = a["within"].to_numpy()
+                radii = reach(query, *model, within)
+                order = np.argsort(radii, kind="stable")
+                asking, query, within, radii = asking[order], query[order], within[order], radii[order]
             for lo in range(0, len(a), 256):
-                some = query[lo : lo + 256]
-                met = probed(codes(some, *model), of_index, radius) if model else None
-                for own, found, score in best(a["vec_id"].to_numpy()[lo : lo + 256], some, ids, index, met, k):
-                    out += [(own, x, y) for x, y in zip(found.tolist(), score.tolist(), strict=True)]
+                some, who = query[lo : lo + 256], asking[lo : lo + 256]
+                own_radius = radius if radii is None else int(radii[lo : lo + 256].max())
+                if radii is not None and own_radius >= WIDE * of_index.codes.shape[1]:
+                    nearest_few = closest(who, some, ids, index, model[0], k, within[lo : lo + 256])
+                else:
+                    nearest_few = best(who, some, ids, index, probed(codes(some, *model), of_index, own_radius) if model else None, k)
+                for query_id, found, score in nearest_few:
+                    out += [(query_id, x, y) for x, y in zip(found.tolist(), score.tolist(), strict=True)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, OUT)
@@ -141,7 +196,7 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = 10_000, probes: int = 64, cover: float = 0.98, index_block: int = 16_384, query_block: int = 32_768) -> DataFrame:
-    """query_id, rank, vec_id, score: for each query its k nearest vectors found. Both tables: vec_id, embedding."""
+    """query_id, rank, vec_id, score: for each query its k nearest vectors. Both tables: vec_id, embedding."""
     rows, asked = usable(vectors), usable(queries).distinct()
     drawn = rows.select("vec_id", "vector", F.xxhash64("vec_id", F.lit(3)).alias("draw"))
     n = rows.count()
@@ -162,4 +217,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = 1
     if truth:
         a, b = (codes(np.array([r[c] for r in truth]), *model) for c in ("vector", "other"))
         radius = int(np.quantile(np.bitwise_count(a ^ b).sum(1), cover, method="higher"))
-    return ranked(searched(asked, rows, k, size, model, radius, (-(-asked.count() // query_block) or 1, index_blocks)), k)
+    asked = common.materialise(asked, "asked")
+    first = common.materialise(searched(asked, rows, k, size, model, radius, (-(-asked.count() // query_block) or 1, index_blocks)), "first")
+    again = common.materialise(unsettled(asked, ranked(first, k), k, size, model, radius), "again")
+    left = again.count()
+    return ranked(first.union(searched(again, rows, k, size, model, None, (-(-left // query_block), index_blocks))) if left else first, k)
