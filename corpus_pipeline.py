@@ -25,12 +25,17 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links connect: the one with the smallest doc_id. Documents without an id stay."""
-    found = jaccard_join.classes(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    once = kept.withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    return once.where(F.col("_rank") == 1).select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
+    """One document of each group that links connect: of the smallest doc_id (without one, if no member has any), then of the smallest text key.
+
+    Texts without words have no links and stay, repeated rows with an id once.
+    """
+    ids = lambda df: df.withColumns({"_no_id": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))})
+    keyed = ids(docs).withColumns({"_h0": decontamination.text_key()["h0"], "_h1": decontamination.text_key()["h1"]})
+    key = ["_no_id", "_id", "_h0", "_h1"]
+    once = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(*docs.columns)))).where(F.col("_rank") == 1)
+    first = ids(jaccard_join.firsts(docs)).select("_no_id", "_id", F.col("h0").alias("_h0"), F.col("h1").alias("_h1"))
+    wordless = docs.where(F.col("doc_id").isNull() & ~F.coalesce(F.col("text"), F.lit("")).rlike(common.WORD))
+    return once.join(first, key, "left_semi").select(*docs.columns).union(wordless)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -191,5 +191,24 @@ def test_pipeline_stages(spark):
     assert pipeline.run(spark, SF).count() > 0
 
 
+def test_near_duplicates_keep_one_document_of_each_class(spark):
+    """Copies among rows without an id go too; of one id with two texts, each text is judged by its own class."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    text = lambda n: " ".join(f"{n}x{i}" for i in range(60))
+    near = lambda n: text(n).replace("x7 ", "y7 ")
+    docs = [(1, text("a")), (None, text("a")), (None, near("a"))]  # goes with an id
+    docs += [(None, text("b")), (None, text("b")), (None, near("b"))]  # no id at all: one stays
+    docs += [(2, text("c")), (2, text("d"))]  # two clean texts of one id
+    docs += [(3, text("e")), (4, text("e")), (4, text("f")), (4, text("f"))]  # a copy of a smaller id beside a clean text
+    docs += [(5, text("g")), (5, near("g")), (None, text("h")), (None, None), (None, "!!"), (None, "!!"), (6, "?"), (6, "?"), (6, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS _rank0", "'x' AS set_id")
+    found = Counter((r.doc_id, r.text) for r in pipeline.near_duplicates(spark, df, SF).collect())
+    sure = Counter([(1, text("a")), (2, text("c")), (2, text("d")), (3, text("e")), (4, text("f")), (None, text("h")), (None, None), (None, "!!"), (None, "!!"), (6, "?"), (6, None)])
+    assert sure <= found
+    left = sorted((i or 0, t[0]) for i, t in (found - sure).elements())
+    assert left == [(0, "b"), (5, "g")]
+    assert pipeline.near_duplicates(spark, df.where("false"), SF).count() == 0
+
+
 def test_queries_are_registered():
     assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))

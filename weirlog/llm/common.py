@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from weirlog.sources.shared import materialise as materialise
 
-#: What is not a word character (anything of ASCII but digits and letters).
+#: What is not a word character (anything of ASCII but digits and letters), and what is one, of either case.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[0-9A-Za-z]|[^\x00-\x7F]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: The same for UTF-8 bytes: lower-cases A-Z and turns what separates words into a space.

@@ -55,7 +55,7 @@ def shingles(words: list[bytes], n: int) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, text_hash, set_id, size, sketch): set_id identifies the set, sketch holds its minimum hashes."""
+    """(doc_id, text_hash, other_hash, set_id, size, sketch): set_id identifies the set, sketch holds its minimum hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,10 +71,10 @@ def sketched(docs: DataFrame, n: int) -> DataFrame:
                         sketches[i] = np.minimum.reduceat((every * ODD[2 * i] + ODD[2 * i + 1]) >> np.uint64(32), starts)
                 rows = iter(np.ascontiguousarray(sketches.T))
                 made = [next(rows).tobytes() if x else None for x in full]
-                yield pa.RecordBatch.from_arrays([few.column("doc_id"), few.column("text_hash"), pa.array(ids), pa.array(sizes.astype(np.int64)), pa.array(made, pa.binary())], ["doc_id", "text_hash", "set_id", "size", "sketch"])
+                yield pa.RecordBatch.from_arrays([few.column("doc_id"), few.column("text_hash"), few.column("other_hash"), pa.array(ids), pa.array(sizes.astype(np.int64)), pa.array(made, pa.binary())], ["doc_id", "text_hash", "other_hash", "set_id", "size", "sketch"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, set_id long, size long, sketch binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.xxhash64(F.lit(1), "text").alias("other_hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, other_hash long, set_id long, size long, sketch binary")
 
 
 def path_hash(path: np.ndarray, place: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -232,21 +232,40 @@ def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return shared
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.99, levels: int = 3, bucket: int = 1024, block: int = 256, slack: float = 0.6) -> DataFrame:
-    """For each document: doc_id, class_id (documents that links connect; its smallest doc_id), n_links (other documents of at least the threshold), n_copies (documents with an equal set), n_shingles."""
+def linked(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.99, levels: int = 3, bucket: int = 1024, block: int = 256, slack: float = 0.6) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the classes are told from: a row a document; a row a set with the root it shares with its class and its first document; the links' rows of exact_links."""
     members = common.materialise(sketched(docs, n), "sketches")
-    some = members.where("size > 0").groupBy("set_id").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("one"), F.max("sketch").alias("sketch"))
-    sets = common.materialise(some.select("set_id", "copies", "one.doc_id", "one.text_hash", "sketch"), "sets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "other_hash"))
+    some = members.where("size > 0").groupBy("set_id").agg(F.count("*").alias("copies"), first.alias("one"), F.max("sketch").alias("sketch"))
+    sets = common.materialise(some.select("set_id", "copies", "one.doc_id", "one.text_hash", "one.other_hash", "sketch"), "sets")
     labels = connected_components(groups_of(sets, threshold, recall, levels, bucket, slack))
     labels = common.materialise(labels.select(F.col("vertex").alias("set_id"), "label"), "labels")
     totals = labels.groupBy("label").agg(F.count("*").alias("total"))
     groups = labels.join(totals, "label").join(sets.drop("sketch"), "set_id")
     links = common.materialise(exact_links(groups, docs, threshold, n, block), "links")
     exact = connected_components(links.where("b IS NOT NULL").select("a", "b")).select(F.col("vertex").alias("set_id"), F.col("label").alias("root"))
+    named = sets.drop("sketch").join(exact, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    return members, named, links
+
+
+def firsts(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, h0, h1): of each class the document with the smallest doc_id (none, if no member has one), then the smallest hashes of its text.
+
+    Texts without words are classes of their own: those with an id are all there.
+    """
+    members, named, _ = linked(docs, **options)
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "other_hash")).alias("one")
+    found = named.groupBy("root").agg(one).select("one.doc_id", "one.text_hash", "one.other_hash")
+    alone = members.where("size = 0 AND doc_id IS NOT NULL").select("doc_id", "text_hash", "other_hash")
+    return found.union(alone).distinct().toDF("doc_id", "h0", "h1")
+
+
+def classes(docs: DataFrame, **options) -> DataFrame:
+    """For each document: doc_id, class_id (documents that links connect; its smallest doc_id), n_links (other documents of at least the threshold), n_copies (documents with an equal set), n_shingles. Options: those of linked."""
+    members, named, links = linked(docs, **options)
     counts = links.where("b IS NULL").groupBy(F.col("a").alias("set_id")).agg(F.sum("links").alias("links"))
-    named = sets.select("set_id", "copies", "doc_id").join(exact, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    told = named.join(names, "root").join(counts, "set_id", "left").select("set_id", "copies", "class_id", "links")
+    told = named.select("set_id", "copies", "root").join(names, "root").join(counts, "set_id", "left").select("set_id", "copies", "class_id", "links")
     return members.select("doc_id", F.when(F.col("size") > 0, F.col("set_id")).alias("set_id"), "size").join(told, "set_id", "left").select(
         "doc_id",
         F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
