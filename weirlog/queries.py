@@ -25,8 +25,18 @@ from weirlog.streaming.feed import Feed
 from weirlog.types import Schema
 from weirlog.worlds import run_scenarios
 
-#: A node of the conversation graph: a turn of a conversation as one number.
-TURN = "conv_id * 1000 + turn"
+
+
+def node(turn: str) -> str:
+    """SQL for a node of the conversation graph: a turn of a conversation as one number.
+
+    It is conv_id * 1000 + turn below 1000 turns. The thousands of a turn stand above the conversation (of less
+    than 10^12 by magnitude), so no turn runs into another conversation.
+    """
+    return f"conv_id * 1000 + pmod({turn}, 1000) + ({turn} - pmod({turn}, 1000)) * 1000000000000"
+
+
+TURN = node("turn")
 
 
 @dataclass(frozen=True)
@@ -74,7 +84,7 @@ REGIONS = {"region": Input("region", ["r_regionkey"], "int")}
 ITEMS = {"item": Input("lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity"], "int int int double")}
 DEBT = {"buyer": Input("customer", ["c_nationkey", "c_acctbal"], "int double"), "seller": Input("supplier", ["s_nationkey", "s_acctbal"], "int double")}
 TURNS = {"turn": Input("conversations", ["conv_id", "turn", "role", TURN], "int int string int")}
-NEXT = {"next": Input("conversations", [TURN, f"{TURN} + 1"], "int int", "turn < 7")}
+NEXT = {"next": Input("conversations", [TURN, node("(turn + 1)")], "int int")}
 CLOSURE = "edge(X,Y) :- next(X,Y), turn(_,_,_,X), turn(_,_,_,Y). "
 CLOSED = {"edge": "int int", "path": "int int"}
 LINEAR = "path(X,Y) :- edge(X,Y). path(X,Z) :- path(X,Y), edge(Y,Z). "
