@@ -25,7 +25,7 @@ from . import common, tokens
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long"
 
 
-def tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+def tokenized(docs: DataFrame, vocabulary: str, end_id: int, added: bool = False) -> DataFrame:
     """(doc_id, part, part_start, n, wide, ids) as a table: wide tells 4 bytes an id from 2."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,7 +34,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
             for few in common.rows(batch, "text", 8_000_000):
                 out = []
                 for doc_id, text in zip(few.column("doc_id").to_pylist(), few.column("text").to_pylist(), strict=True):
-                    ids = np.append(tokens.token_ids(text, vocabulary), np.uint32(end_id))
+                    ids = np.append(tokens.token_ids(text, vocabulary, added), np.uint32(end_id))
                     wide = bool(ids.max() >= 1 << 16)
                     out.append((doc_id, part, at, len(ids), wide, ids.astype("<u4" if wide else "<u2").tobytes()))
                     at += len(ids)
@@ -43,14 +43,15 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, part int, part_start long, n long, wide boolean, ids binary")
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, window: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, window: int = 2048, end_id: int = 1, with_ids: bool = False, added: bool = False) -> DataFrame:
     """One row a piece: a run of a document's ids and its place in a sequence of at most window ids.
 
     padded_length is what the sequence is padded to: the window, but a sequence whose length is a power of
-    two stays as it is; only the last can be short. with_ids adds the ids themselves.
+    two stays as it is; only the last can be short. with_ids adds the ids themselves. added: strings of the vocabulary's
+    added tokens are these tokens, not ordinary text.
     """
     vocabulary = vocabulary or tokens.default_vocabulary()
-    table = common.materialise(tokenized(docs, vocabulary, end_id), "packing")
+    table = common.materialise(tokenized(docs, vocabulary, end_id, added), "packing")
     totals = {r.part: r.n for r in table.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # a number a partition
     base, total = {}, 0
     for part in sorted(totals):

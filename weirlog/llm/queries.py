@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), added=True)
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.suffix_sums(token_counts.histogram(table(spark, sf_dir, "documents")))
+    return token_counts.suffix_sums(token_counts.histogram(table(spark, sf_dir, "documents"), added=True))
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_ann, op3_decontamination, op4_lm_scoring, op5_language_id, op6_chat_formatting, op7_jaccard_join, op8_html_extraction, op9_toxicity, op10_token_counts)}

@@ -20,18 +20,20 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 
-def histogram(docs: DataFrame, vocabulary: str | None = None, text: str = "text") -> DataFrame:
-    """(n_tokens, n_docs), a row a length that occurs."""
+def histogram(docs: DataFrame, vocabulary: str | None = None, text: str = "text", added: bool = False) -> DataFrame:
+    """(n_tokens, n_docs), a row a length that occurs, as a table: texts are encoded once. added as in tokens."""
     vocabulary = vocabulary or tokens.default_vocabulary()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = (tokens.whole_encoder if added else tokens.encoder)(vocabulary)
         for batch in batches:
             found: Counter[int] = Counter()
             for few in common.rows(batch, "text", 8_000_000):
-                found.update(len(tokens.encoder(vocabulary)(x)) if x else 0 for x in few.column("text").to_pylist())
+                found.update(len(encode(x)) if x else 0 for x in few.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (list(found), list(found.values()))], ["n_tokens", "n_docs"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(count, "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "n_tokens long, n_docs long")
+    return common.materialise(counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")), "lengths")
 
 
 def suffix_sums(lengths: DataFrame, block: int = 1024) -> DataFrame:

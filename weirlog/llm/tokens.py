@@ -2,12 +2,16 @@
 
 The vocabulary file comes as ranks or as a tokenizer file; both give the same ids. With ranks the
 encoder runs several times faster, so a rank file beside the tokenizer file is used if there is one.
-Strings of special tokens inside a text are ordinary text.
+
+What the strings of added tokens (such as <|endoftext|>) inside a text are is up to the caller: ordinary
+text, or, with `added`, the added token's single id, as the tokenizer file has it. A text that holds such a string
+then goes to the tokenizer itself, whole and with its own settings; the ranks encode only texts without any.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import os
 from functools import cache
 
@@ -33,9 +37,20 @@ def encoder(path: str):
     return lambda text: own.encode(text, add_special_tokens=False).ids
 
 
-def token_ids(text: str | None, path: str) -> np.ndarray:
-    """The ids of a text as unsigned 32-bit integers; null is empty."""
-    return np.array(encoder(path)(text), dtype="<u4") if text else np.empty(0, "<u4")
+@cache
+def whole_encoder(path: str):
+    """text -> list of ids as the tokenizer file gives them, its added tokens included. path names a .json file."""
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as file:
+        added = [x["content"] for x in json.load(file)["added_tokens"]]
+    own, plain = Tokenizer.from_file(path), encoder(path)
+    return lambda text: own.encode(text, add_special_tokens=False).ids if any(x in text for x in added) else plain(text)
+
+
+def token_ids(text: str | None, path: str, added: bool = False) -> np.ndarray:
+    """The ids of a text as unsigned 32-bit integers; null is empty. added: strings of added tokens are these tokens."""
+    return np.array((whole_encoder if added else encoder)(path)(text), dtype="<u4") if text else np.empty(0, "<u4")
 
 
 def default_vocabulary() -> str:
