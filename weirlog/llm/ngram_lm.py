@@ -49,6 +49,11 @@ class Plan:
     block_tokens: int
 
 
+def planes(x: np.ndarray) -> np.ndarray:
+    """Bytes of equal weight together: what is small compresses to next to nothing."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T
+
+
 def squeezed(x: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
 
@@ -60,12 +65,16 @@ def spread(raw: bytes, kind) -> np.ndarray:
 def packed_hashes(h: np.ndarray) -> bytes:
     """Sorted hashes as differences, bytes of equal weight together."""
     steps = np.diff(h, prepend=np.uint64(0)).astype("<u8")
-    return squeezed(steps.view(np.uint8).reshape(-1, 8).T)
+    return squeezed(planes(steps))
+
+
+def unplaned(raw: bytes, kind: str) -> np.ndarray:
+    own = spread(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(own.T).view(kind).ravel()
 
 
 def unpacked_hashes(raw: bytes) -> np.ndarray:
-    planes = spread(raw, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(unplaned(raw, "<u8"), dtype=np.uint64)
 
 
 def stream(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +115,7 @@ def blocks_of(docs: DataFrame, plan: Plan) -> DataFrame:
             if ids:
                 tokens, lengths = stream(texts)
                 table, places = np.unique(tokens, return_inverse=True)
-                row = ((part + made) * 2 + odd, ids, folds, lengths.tolist(), squeezed(table), squeezed(places.astype("<u4").view(np.uint8).reshape(-1, 4).T))
+                row = ((part + made) * 2 + odd, ids, folds, lengths.tolist(), squeezed(table), squeezed(planes(places.astype("<u4"))))
                 kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], ["block", "ids", "folds", "lengths", "table", "places"])
                 held[odd], size[odd], made = ([], [], []), 0, made + 1
@@ -128,8 +137,7 @@ def blocks_of(docs: DataFrame, plan: Plan) -> DataFrame:
 
 def distinct_grams(lengths: np.ndarray, table: bytes, places: bytes, order: int) -> tuple[np.ndarray, np.ndarray]:
     """A block's distinct n-gram hashes in order, and where each token's n-grams stand there (a row an order)."""
-    at = np.ascontiguousarray(spread(places, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-    found = grams(spread(table, "<u8")[at], lengths, order)
+    found = grams(spread(table, "<u8")[unplaned(places, "<u4")], lengths, order)
     distinct, place = np.unique(np.concatenate(found), return_inverse=True)
     return distinct, place.reshape(order, -1)
 
@@ -144,8 +152,9 @@ def asked(blocks: DataFrame, plan: Plan) -> DataFrame:
                 distinct, place = distinct_grams(lengths, row["table"], row["places"], plan.order)
                 part = np.repeat(np.array(row["folds"]), lengths)
                 counts = np.array([np.bincount(place[:, part == p].ravel(), minlength=len(distinct)) for p in (TRAIN, TUNE)] + [np.bincount(place[0], minlength=len(distinct)) > 0]).astype("<u4")
-                edges = np.searchsorted(distinct >> np.uint64(63 - plan.bucket_bits) >> np.uint64(1), np.arange((1 << plan.bucket_bits) + 1, dtype=np.uint64))
-                out = [(row["block"], k, int(b - a), packed_hashes(distinct[a:b]), squeezed(counts[:, a:b])) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+                bucket = (distinct >> np.uint64(63 - plan.bucket_bits) >> np.uint64(1)).astype(np.int64)
+                edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=1 << 62))  # runs of one bucket: none is empty
+                out = [(row["block"], bucket[a], int(b - a), packed_hashes(distinct[a:b]), squeezed(counts[:, a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["block", "bucket", "n", "hashes", "counts"])
 
     return blocks.select("block", "folds", "lengths", "table", "places").mapInArrow(run, "block long, bucket int, n long, hashes binary, counts binary")
@@ -162,10 +171,10 @@ def answered(asks: DataFrame) -> DataFrame:
             places.append(place[at : at + part.shape[1]])
             sums[:, places[-1]] += part  # a block has a hash once
             at += part.shape[1]
-        total = np.minimum(sums[:2], 0xFFFFFFFF).astype("<u4")
+        total = sums[:2].astype("<u8")  # of a large corpus, more than 32 bits
         first = np.arange(len(places)) == 0
         words = ((sums[2] > 0) & (sums[:2].sum(0) > 0)).sum(), ((sums[2] > 0) & (sums[0] > 0)).sum()
-        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "reply": [squeezed(total[:, x]) for x in places]} | {k: np.where(first, n, 0) for k, n in zip(("words", "base_words"), words, strict=True)})
+        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "reply": [squeezed(planes(total[:, x].ravel())) for x in places]} | {k: np.where(first, n, 0) for k, n in zip(("words", "base_words"), words, strict=True)})
 
     return asks.groupBy("bucket").applyInPandas(add_up, "block long, bucket int, reply binary, words long, base_words long")
 
@@ -238,7 +247,7 @@ def scored(docs: DataFrame, held_out: str = "held_out", order: int = 2, block_to
         row = block.iloc[0]
         lengths = np.array(row["lengths"])
         _, place = distinct_grams(lengths, row["table"], row["places"], order)
-        totals = np.concatenate([spread(x, "<u4").reshape(2, -1) for x in reply.sort_values("bucket")["reply"]], axis=1)
+        totals = np.concatenate([unplaned(x, "<u8").reshape(2, -1) for x in reply.sort_values("bucket")["reply"]], axis=1)
         return row, lengths, totals.astype(np.int64)[:, place]
 
     def cells_of(block: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
