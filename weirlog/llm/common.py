@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirlog.sources.shared import materialise as materialise
@@ -65,17 +65,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def bounded_sample(df: DataFrame, label: str, key: str, per_label: int, salt: int = 0) -> DataFrame:
-    """At most per_label rows of each label, chosen by a hash of the key: the same rows at every run.
+def bounded_sample(df: DataFrame, label: str, columns: list[str], per_label: int, salt: int = 0) -> DataFrame:
+    """About per_label distinct rows of (label, columns) for each label that is not null, chosen by a hash: the same rows at every run.
 
-    A hash threshold from each label's count thins the rows first, so that ranking sees only a few times
-    the bound, however frequent a label is.
+    A hash threshold from the number of distinct rows of a label draws them, so no task ranks a label's rows, and
+    copies of one row, however many, count as one. `_drawn` is what they were drawn by: who needs a strict bound takes the
+    least. All rows come where there are at most per_label. A row a label passes the driver, so labels are few.
     """
-    drawn = F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(1 << 40))
-    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    span = 1 << 40
+    drawn = df.where(F.col(label).isNotNull()).select(label, *columns).withColumn("_drawn", F.pmod(F.xxhash64(F.lit(salt), *columns), F.lit(span)))
+    sizes = drawn.groupBy(label).agg(F.approx_count_distinct("_drawn", 0.03).alias("n")).collect()
     rate = F.lit(0)
-    for value, n in counts.items():
-        rate = F.when(F.col(label).eqNullSafe(F.lit(value)), F.lit(min(1 << 40, int(2.0 * per_label / n * (1 << 40)) + 1))).otherwise(rate)
-    thin = df.withColumn("_drawn", drawn).where(F.col("_drawn") < rate)
-    rank = F.row_number().over(Window.partitionBy(label).orderBy("_drawn", key))
-    return thin.withColumn("_rank", rank).where(F.col("_rank") <= per_label).drop("_rank", "_drawn")
+    for r in sizes:
+        share = span if r.n <= 0.9 * per_label else min(span, int(1.2 * per_label / r.n * span) + 1)
+        rate = F.when(F.col(label) == F.lit(r[label]), F.lit(share)).otherwise(rate)
+    return drawn.where(F.col("_drawn") < rate).distinct()
+
+
+def piece(text: str, longest: int) -> Column:
+    """The text, or of a longer one a run of so many characters, begun where a hash of the text says."""
+    begin = F.pmod(F.xxhash64(text), F.greatest(F.length(text) - longest + 1, F.lit(1))).cast("int") + 1
+    return F.when(F.length(text) <= longest, F.col(text)).otherwise(F.substring(F.col(text), begin, F.lit(longest)))

@@ -10,7 +10,7 @@ Words, weights, exception phrases and the curve are learned from labelled texts:
 the ratio of its document frequencies in toxic and other texts, if it is frequent enough and stands beside
 enough different words (what only occurs in copies of one text does not). The learning sample is bounded.
 
-Null and empty texts have no match and get the curve's value at zero. Without labels of both kinds the
+Texts of any length are scored whole, in time that grows with their length. Null and empty texts have no match and get the curve's value at zero. Without labels of both kinds the
 lexicon is empty and all score 0. Null labels are ignored.
 """
 
@@ -92,14 +92,20 @@ def measured(words: list[bytes], made: ahocorasick.Automaton | None) -> tuple[fl
     text = " " + b" ".join(words).decode("latin-1") + " "
     found, exempt = {}, []
     for end, (weight, length) in made.iter(text):
-        begin = text.rfind(" ", 0, end) + 1 if text[end] != " " else end - length
-        if text[end] != " " and text[end + 1] == " ":  # a beginning is one of longer words
+        whole = text[end] == " "
+        begin = end - length + (not whole)
+        if not whole and text[end + 1] == " ":  # a beginning is one of longer words
             continue
         if weight is None:
-            exempt.append((end - length, end))
+            exempt.append((begin, end))
         else:  # a word counts once, by its largest weight
             found[begin] = max(weight, found.get(begin, 0.0))
-    total = sum(w for at, w in found.items() if not any(a <= at < b for a, b in exempt))
+    exempt.sort()
+    total, k, reach = 0.0, 0, -1
+    for at in sorted(found):  # one sweep over words and phrases
+        while k < len(exempt) and exempt[k][0] <= at:
+            reach, k = max(reach, exempt[k][1]), k + 1
+        total += found[at] if at >= reach else 0.0
     return math.log1p(total), math.log1p(100 * total / len(words))
 
 
@@ -116,10 +122,17 @@ def curve_of(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = 5000, least_texts: int = 8, least_weight: float = 2.0, longest: int = 20_000) -> Lexicon:
-    """A lexicon from at most per_class labelled texts of each kind, of at most longest characters."""
+    """A lexicon from at most per_class labelled texts of each kind, of each longer text a piece of longest characters."""
     marked = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = common.bounded_sample(marked, "toxic", "doc_id", per_class)  # 2 * per_class rows at most
-    texts = {(r.text, r.toxic) for r in docs.where(F.length("text") <= longest).select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic").toLocalIterator()}
+    sample = common.bounded_sample(marked, "toxic", ["doc_id"], per_class).select("doc_id", "toxic")  # about 1.2 * 2 * per_class rows
+    met = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    met = common.materialise(met.select(common.piece("text", longest).alias("text"), "toxic"), "labelled")  # an id may have many texts
+    few = common.bounded_sample(met, "toxic", ["text"], per_class, salt=1)
+    texts, taken = set(), Counter()
+    for r in few.orderBy("toxic", "_drawn", "text").toLocalIterator():
+        taken[r.toxic] += 1
+        if taken[r.toxic] <= per_class:
+            texts.add((r.text, r.toxic))
     kinds = Counter(t for _, t in texts)
     if len(kinds) < 2:
         return Lexicon()
