@@ -48,7 +48,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of full sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, added=True)
 
 
 STAGES = [("language_id", language), ("toxicity", toxic), ("jaccard_join", near_duplicates), ("decontamination", decontaminated), ("packing", packed)]
