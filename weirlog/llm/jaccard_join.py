@@ -35,6 +35,7 @@ from weirlog.operators.components import connected_components
 from . import common
 
 PLACES = 64
+SALTS = np.uint64(0), np.uint64(0x9FB21C651E98DF25)
 ODD = common.mixed(np.arange(1, 2 * PLACES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -55,7 +56,7 @@ def shingles(words: list[bytes], n: int) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, text_hash, other_hash, set_id, size, sketch): set_id identifies the set, sketch holds its minimum hashes."""
+    """(doc_id, text_hash, other_hash, s0, s1, size, sketch): s0 and s1, 128 bits, identify the set, sketch holds its minimum hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,7 +64,7 @@ def sketched(docs: DataFrame, n: int) -> DataFrame:
                 sets = [shingles(common.words_of(x), n) for x in few.column("text").to_pylist()]
                 sizes = np.array([len(x) for x in sets])
                 full = sizes > 0
-                ids = np.array([common.mixed(x).sum(dtype=np.uint64) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
+                ids = [pa.array(np.array([common.mixed(x ^ salt).sum(dtype=np.uint64) if len(x) else 0 for x in sets], np.uint64).view(np.int64), mask=~full) for salt in SALTS]
                 sketches = np.zeros((PLACES, int(full.sum())), np.uint32)
                 if full.any():
                     every, starts = np.concatenate(sets), np.cumsum(sizes[full]) - sizes[full]
@@ -71,10 +72,10 @@ def sketched(docs: DataFrame, n: int) -> DataFrame:
                         sketches[i] = np.minimum.reduceat((every * ODD[2 * i] + ODD[2 * i + 1]) >> np.uint64(32), starts)
                 rows = iter(np.ascontiguousarray(sketches.T))
                 made = [next(rows).tobytes() if x else None for x in full]
-                yield pa.RecordBatch.from_arrays([few.column("doc_id"), few.column("text_hash"), few.column("other_hash"), pa.array(ids), pa.array(sizes.astype(np.int64)), pa.array(made, pa.binary())], ["doc_id", "text_hash", "other_hash", "set_id", "size", "sketch"])
+                yield pa.RecordBatch.from_arrays([few.column("doc_id"), few.column("text_hash"), few.column("other_hash"), *ids, pa.array(sizes.astype(np.int64)), pa.array(made, pa.binary())], ["doc_id", "text_hash", "other_hash", "s0", "s1", "size", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.xxhash64(F.lit(1), "text").alias("other_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, other_hash long, set_id long, size long, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, other_hash long, s0 long, s1 long, size long, sketch binary")
 
 
 def path_hash(path: np.ndarray, place: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -184,23 +185,35 @@ def groups_of(sets: DataFrame, threshold: float, recall: float, levels: int, buc
     return found.distinct()
 
 
-def exact_links(groups: DataFrame, docs: DataFrame, threshold: float, n: int, block: int) -> DataFrame:
-    """Compares whole sets inside each group: rows (a, null, links) with parts of a set's number of links, and (a, b, null), a spanning forest of the links.
+def gram_sets(groups: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """groups with each set's n-grams (grams, 8 bytes each), from the text of one document that has it; a row a set.
 
-    groups: label, total, set_id, copies, doc_id, text_hash (of one document that has the set).
+    groups: label, total, set_id, copies, doc_id, text_hash (of that document). Rows that repeat are met before the shuffle.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_hash"), "text")
     rows = groups.join(texts, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
-    rows = blocked(rows.select("label", "total", "set_id", "copies", "text"), "label", "total", block, max(1, groups.count() // 200))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for few in common.rows(batch, "text"):
+                grams = pa.array([shingles(common.words_of(x), n).tobytes() for x in few.column("text").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(few.column(c) for c in ("label", "total", "set_id", "copies")), grams], ["label", "total", "set_id", "copies", "grams"])
+
+    found = rows.select("label", "total", "set_id", "copies", "text").mapInArrow(run, "label long, total long, set_id long, copies long, grams binary")
+    return found.groupBy("set_id").agg(*(F.first(c).alias(c) for c in ("label", "total", "copies", "grams")))
+
+
+def exact_links(sets: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Compares whole sets (rows of gram_sets) inside each group: rows (a, null, links) with parts of a set's number of links, and (a, b, null), a spanning forest of the links."""
+    rows = blocked(sets, "label", "total", block, max(1, sets.count() // 200))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         for (_, i, j), own in pdf.groupby(["label", "i", "j"], sort=False):
-            own = own.drop_duplicates("set_id")
             ids, copies, part = own["set_id"].to_numpy(), own["copies"].to_numpy(), own["block"].to_numpy()
-            sets = [shingles(common.words_of(x), n) for x in own["text"]]
-            size = np.array([len(x) for x in sets])
-            shared = overlaps(sets)
+            grams = [np.frombuffer(x, np.uint64) for x in own["grams"]]
+            size = np.array([len(x) for x in grams])
+            shared = overlaps(grams)
             linked = shared >= threshold * (size[:, None] + size[None] - shared) - 1e-9
             np.fill_diagonal(linked, False)
             if i != j:
@@ -236,13 +249,15 @@ def linked(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float =
     """What the classes are told from: a row a document; a row a set with the root it shares with its class and its first document; the links' rows of exact_links."""
     members = common.materialise(sketched(docs, n), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "other_hash"))
-    some = members.where("size > 0").groupBy("set_id").agg(F.count("*").alias("copies"), first.alias("one"), F.max("sketch").alias("sketch"))
-    sets = common.materialise(some.select("set_id", "copies", "one.doc_id", "one.text_hash", "one.other_hash", "sketch"), "sets")
+    some = members.where("size > 0").groupBy("s0", "s1").agg(F.count("*").alias("copies"), first.alias("one"), F.max("sketch").alias("sketch"))
+    some = some.select(F.monotonically_increasing_id().alias("set_id"), "s0", "s1", "copies", "one.doc_id", "one.text_hash", "one.other_hash", "sketch")
+    sets = common.materialise(some, "sets")  # written once, so a set keeps its number
     labels = connected_components(groups_of(sets, threshold, recall, levels, bucket, slack))
     labels = common.materialise(labels.select(F.col("vertex").alias("set_id"), "label"), "labels")
     totals = labels.groupBy("label").agg(F.count("*").alias("total"))
     groups = labels.join(totals, "label").join(sets.drop("sketch"), "set_id")
-    links = common.materialise(exact_links(groups, docs, threshold, n, block), "links")
+    grams = common.materialise(gram_sets(groups, docs, n), "grams")
+    links = common.materialise(exact_links(grams, threshold, block), "links")
     exact = connected_components(links.where("b IS NOT NULL").select("a", "b")).select(F.col("vertex").alias("set_id"), F.col("label").alias("root"))
     named = sets.drop("sketch").join(exact, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     return members, named, links
@@ -265,8 +280,8 @@ def classes(docs: DataFrame, **options) -> DataFrame:
     members, named, links = linked(docs, **options)
     counts = links.where("b IS NULL").groupBy(F.col("a").alias("set_id")).agg(F.sum("links").alias("links"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    told = named.select("set_id", "copies", "root").join(names, "root").join(counts, "set_id", "left").select("set_id", "copies", "class_id", "links")
-    return members.select("doc_id", F.when(F.col("size") > 0, F.col("set_id")).alias("set_id"), "size").join(told, "set_id", "left").select(
+    told = named.select("s0", "s1", "set_id", "copies", "root").join(names, "root").join(counts, "set_id", "left").select("s0", "s1", "copies", "class_id", "links")
+    return members.select("doc_id", "s0", "s1", "size").join(told, ["s0", "s1"], "left").select(
         "doc_id",
         F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).alias("n_links"),
