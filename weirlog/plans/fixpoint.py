@@ -30,47 +30,51 @@ def _plain(spark: SparkSession, program: Program, relation: str, relations: Mapp
     return union(parts).distinct() if parts else empty(spark, schema)
 
 
-def _recursive(spark: SparkSession, program: Program, stratum: tuple[str, ...], relations: dict[str, DataFrame], seed: Mapping[str, DataFrame] | None = None, new: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-    """Semi-naive rounds over all relations of a stratum.
+def _recursive(spark: SparkSession, program: Program, stratum: tuple[str, ...], relations: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """A stratum from nothing: the rules that do not read it, then rounds."""
+    first: dict[str, list[DataFrame]] = {r: [] for r in stratum}
+    for r in stratum:
+        for c in program.rules_of(r):
+            if not any(isinstance(a, Atom) and a.predicate in stratum for a in c.body):
+                first[r].append(derived(spark, c, program.schemas[r], lambda _, a: relations[a.predicate]))
+    added = rounds(spark, program, stratum, relations, {}, first)
+    return {r: union(added[r]) if added[r] else empty(spark, program.schemas[r]) for r in stratum}
+
 
-    Each round evaluates every recursive rule once for each place that reads the stratum: that place reads
-    the last round's new rows, earlier places all rows, later places the rows before. New rows are
-    written to the shared folder, which cuts their lineage.
+def rounds(spark: SparkSession, program: Program, stratum: tuple[str, ...], relations: Mapping[str, DataFrame], seed: Mapping[str, DataFrame], first: Mapping[str, list[DataFrame]]) -> dict[str, list[DataFrame]]:
+    """Semi-naive rounds over all relations of a stratum: the rows that come to the seed (which may be empty), as tables.
 
-    seed and new continue an earlier result after insertions into what the stratum reads, where nothing is
-    negated: seed holds the old rows, new the rows that came to the relations below.
+    first holds the rows that start the rounds. Each round evaluates every recursive rule once for each place that
+    reads the stratum: that place reads the last round's new rows, earlier places all rows, later places the
+    rows before. New rows are written to the shared folder, which cuts their lineage; the seed is never written again.
     """
     rules = [(c, program.schemas[c.head.predicate]) for r in stratum for c in program.rules_of(r)]
     inside = {id(c): [i for i, a in enumerate(c.body) if isinstance(a, Atom) and a.predicate in stratum] for c, _ in rules}
-    parts: dict[str, list[DataFrame]] = {r: [seed[r]] if seed else [] for r in stratum}
-    first: dict[str, list[DataFrame]] = {r: [] for r in stratum}
-    for c, schema in rules:
-        if seed is None and not inside[id(c)]:
-            first[c.head.predicate].append(derived(spark, c, schema, lambda _, a: relations[a.predicate]))
-        elif seed is not None:
-            for at in [i for i, a in enumerate(c.body) if isinstance(a, Atom) and not a.negated and a.predicate in new]:
-                read = lambda i, a, at=at: new[a.predicate] if i == at else seed[a.predicate] if a.predicate in stratum else relations[a.predicate]
-                first[c.head.predicate].append(derived(spark, c, schema, read, at))
-    before = {r: union(parts[r]) if parts[r] else empty(spark, program.schemas[r]) for r in stratum}
-    candidates = first
+    added: dict[str, list[DataFrame]] = {r: [] for r in stratum}
+
+    def rows_of(r: str) -> DataFrame:
+        parts = [*([seed[r]] if r in seed else []), *added[r]]
+        return union(parts) if parts else empty(spark, program.schemas[r])
+
+    before, candidates = {r: rows_of(r) for r in stratum}, first
     while True:
         delta = {}
         for r in stratum:
             if candidates[r]:
                 rows = union(candidates[r]).distinct()
-                if parts[r]:
+                if r in seed or added[r]:
                     columns = program.schemas[r].columns
                     rows = rows.join(before[r].toDF(*columns), columns, "left_anti")
                 rows = materialise(rows, "delta")
                 if not rows.isEmpty():
                     delta[r] = rows
         if not delta:
-            return {r: union(parts[r]) if parts[r] else empty(spark, program.schemas[r]) for r in stratum}
+            return added
         for r, rows in delta.items():
-            parts[r].append(rows)
-            if len(parts[r]) > COMPACT:
-                parts[r] = [materialise(union(parts[r]), "full")]
-        after = {r: union(parts[r]) if parts[r] else before[r] for r in stratum}
+            added[r].append(rows)
+            if len(added[r]) > COMPACT:
+                added[r] = [materialise(union(added[r]), "full")]
+        after = {r: rows_of(r) for r in stratum}
         candidates = {r: [] for r in stratum}
         for c, schema in rules:
             for at in inside[id(c)]:
@@ -125,15 +129,3 @@ def evaluate(spark: SparkSession, program: Program, inputs: Mapping[str, DataFra
             if reads[stratum[0]] > 1:
                 store(stratum)
     return {r: df for r, df in relations.items() if r not in program.inputs and r in needed}
-
-
-def extend(spark: SparkSession, program: Program, stratum: tuple[str, ...], relations: dict[str, DataFrame], old: Mapping[str, DataFrame], new: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """A recursive stratum after insertions only, continued from its old rows; see can_extend."""
-    return _recursive(spark, program, stratum, relations, {r: old[r] for r in stratum}, new)
-
-
-def can_extend(program: Program, stratum: tuple[str, ...], changed: Iterable[str], grown: Iterable[str]) -> bool:
-    """Whether a recursive stratum may be continued: all that changed below it has only grown, and is not negated there."""
-    read = {(a.predicate, a.negated) for r in stratum for c in program.rules_of(r) for a in c.body if isinstance(a, Atom)}
-    touched = {(p, n) for p, n in read if p in set(changed) and p not in stratum}
-    return program.recursive(stratum) and all(not n and p in set(grown) for p, n in touched)

@@ -1,9 +1,10 @@
 """A program instance: retained inputs, transactions with deltas, revisions, bounded reads, witnesses.
 
-Inputs and results are DataFrames of the current revision. A transaction is staged on the driver, becomes
-two small DataFrames (insertions, deletions), and changes only the relations that depend on what changed;
-everything else keeps its DataFrame. What a transaction makes is written to the shared folder before the
-session takes it over, so a failure leaves the session as it was.
+Inputs and results are DataFrames of the current revision, each a table and the few rows that differ from it. A
+transaction is staged on the driver, becomes two small DataFrames (insertions, deletions), and changes only the
+relations that depend on what changed, by the rows that change (plans.change); everything else keeps its DataFrame.
+What a transaction makes is written to the shared folder before the session takes it over, so a failure leaves the
+session as it was; tables of old revisions are deleted.
 """
 
 from __future__ import annotations
@@ -19,13 +20,17 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirlog.plans.change import Change, Strata
 from weirlog.plans.check import Program, program_of
 from weirlog.plans.compile import empty, evidence
-from weirlog.plans.fixpoint import can_extend, evaluate, extend
-from weirlog.sources.shared import materialise
+from weirlog.plans.fixpoint import evaluate
+from weirlog.sources.layers import Layers
+from weirlog.sources.shared import drop, recorded, written
 from weirlog.types import SPARK_TYPES, RuleError, Schema, cell, row
 
 MOST_ROWS, MOST_BYTES = 10_000, 4 << 20
+#: So many revisions back, DataFrames and deltas can still be read; older tables are deleted.
+KEPT = 8
 
 
 @dataclass(frozen=True)
@@ -76,6 +81,11 @@ class Session:
         self.program: Program | None = None
         self.inputs: dict[str, DataFrame] = {}
         self.results: dict[str, DataFrame] = {}
+        self.layers: dict[str, Layers] = {}
+        self.views: dict[str, DataFrame] = {}
+        self.tables: list[list[str]] = []
+        self.activity: dict[str, dict[str, int]] = {}
+        self.feeds: dict[str, int] = {}
         self.revision = self.program_version = 0
         self.health = "empty"
 
@@ -91,9 +101,16 @@ class Session:
                 if old.input and program.schemas.get(r) != old:
                     raise RuleError(f"Input schema of {r} cannot change while facts are retained")
         inputs = {r: self.inputs[r] if r in self.inputs else empty(self.spark, program.schemas[r]) for r in program.inputs}
-        results = self._kept(evaluate(self.spark, program, inputs, self._exports(program), stored=inputs))
-        self.program, self.inputs, self.results = program, inputs, results
+        with recorded() as passing:
+            found = evaluate(self.spark, program, inputs, self._exports(program), stored=inputs)
+        with recorded() as kept:
+            tables = {r: written(df, "result") for r, df in found.items()}
+        drop(self.spark, passing)
+        self.layers = {r: x for r, x in self.layers.items() if r in inputs} | {r: Layers.of(*x) for r, x in tables.items()}
+        self.program, self.inputs, self.results = program, inputs, {r: df for r, (df, _) in tables.items()}
+        self.views = {r: df for r, df in self.views.items() if r in inputs} | self.results
         self.revision, self.program_version, self.health = self.revision + 1, self.program_version + 1, "healthy"
+        self._sweep(kept)
         return self.revision
 
     def _exports(self, program: Program) -> list[str]:
@@ -103,9 +120,6 @@ class Session:
                 raise RuleError(f"Export {r} must name a declared derived relation")
         return wanted
 
-    def _kept(self, results: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-        return {r: materialise(df, "result") for r, df in results.items()}
-
     def _installed(self) -> Program:
         if self.program is None:
             raise RuleError("Install a program first")
@@ -178,47 +192,71 @@ class Session:
         return self._advance(made, deltas)
 
     def _advance(self, made: Mapping[str, tuple[DataFrame, DataFrame, DataFrame]], deltas: bool) -> Applied:
-        """Takes over new inputs: made holds by relation its old rows, what comes and what goes."""
-        program, inputs, changed, grown, new = self.program, dict(self.inputs), set(), set(), {}
-        for r, (old, come, gone) in made.items():
-            come, gone = materialise(come, "come"), materialise(gone, "gone")
-            some, fewer = not come.isEmpty(), not gone.isEmpty()
-            if some or fewer:
-                changed.add(r)
-                rest = old.join(gone, program.schemas[r].columns, "left_anti").select(*program.schemas[r].columns) if fewer else old
-                inputs[r] = materialise(rest.union(come), "input")
-            if some and not fewer:
-                grown.add(r)
-                new[r] = come
-        results, told = dict(self.results), {}
-        stale = program.affected(changed) & set(self.results)
-        for r in stale:
-            results.pop(r)
-        relations = inputs | results
-        for stratum in program.strata:
-            if stale.isdisjoint(stratum):
-                continue
-            if can_extend(program, stratum, changed, grown):
-                fresh = extend(self.spark, program, stratum, relations, self.results, {r: df for r, df in new.items() if r in changed})
-            else:
-                fresh = evaluate(self.spark, program, inputs, stratum, results, {*inputs, *results})
-            for r in stratum:
-                results[r] = relations[r] = materialise(fresh[r], "result")
-                delta = self._delta(self.results[r], results[r], program.schemas[r])
-                told[r] = delta = materialise(delta, "delta")
-                signs = {x.weight for x in delta.select("weight").distinct().collect()}
-                if signs:
-                    changed.add(r)
-                if signs == {1}:
-                    grown.add(r)
-                    new[r] = delta.where("weight = 1").drop("weight")
-        self.inputs, self.results, self.revision = inputs, results, self.revision + 1
+        """Takes over new inputs: made holds by relation its old rows, what comes and what goes. Only what differs is written."""
+        program, layers = self._installed(), dict(self._layers())
+        old = {r: x.rows for r, x in layers.items()}
+        new, changes = dict(old), {}
+        with recorded() as passing:
+            try:
+                for r, (_, come, gone) in made.items():
+                    self._take(r, Change.of(come, gone), layers, new, changes)
+                strata = Strata(self.spark, program, old, new, changes)
+                stale = program.affected(changes) & set(self.results)
+                for stratum in program.strata:
+                    if not stale.isdisjoint(stratum):
+                        for r, change in strata.of(stratum).items():
+                            self._take(r, change, layers, new, changes)
+            except RuleError:
+                raise
+            except Exception:
+                self._check_health()
+                raise
+        self.layers = layers
+        self.inputs, self.results = ({r: layers[r].rows if r in changes else df for r, df in some.items()} for some in (self.inputs, self.results))
+        self.views = self.inputs | self.results
+        self.revision += 1
         exported = set(self._exports(program))
-        return Applied(self.revision, self.program_version, {r: df for r, df in told.items() if r in changed and r in exported} if deltas else {})
-
-    def _delta(self, old: DataFrame, new: DataFrame, schema: Schema) -> DataFrame:
-        gone = old.join(new.toDF(*schema.columns), schema.columns, "left_anti").select(*schema.columns, F.lit(-1).alias("weight"))
-        return gone.union(new.join(old.toDF(*schema.columns), schema.columns, "left_anti").select(*schema.columns, F.lit(1).alias("weight")))
+        told = {r: self._weighted(change) for r, change in changes.items() if r in exported}
+        for r, change in changes.items():
+            n = self.activity.setdefault(r, {"inserted": 0, "deleted": 0, "transactions": 0})
+            for key, df in (("inserted", change.come), ("deleted", change.gone)):
+                n[key] += df.count() if df is not None else 0
+            n["transactions"] += 1
+        self._sweep(passing)
+        return Applied(self.revision, self.program_version, told if deltas else {})
+
+    def _take(self, relation: str, change: Change, layers: dict[str, Layers], new: dict[str, DataFrame], changes: dict[str, Change]) -> None:
+        if change:
+            layers[relation] = layers[relation].changed(change.come, change.gone, change.paths, "rows")
+            new[relation], changes[relation] = layers[relation].rows, change
+
+    def _weighted(self, change: Change) -> DataFrame:
+        parts = [df.withColumn("weight", F.lit(w)) for df, w in ((change.gone, -1), (change.come, 1)) if df is not None]
+        return parts[0].union(parts[1]) if len(parts) > 1 else parts[0]
+
+    def _layers(self) -> dict[str, Layers]:
+        """The layers of every relation; one whose rows were set from outside begins anew."""
+        for r, df in (self.inputs | self.results).items():
+            if r not in self.layers or self.views.get(r) is not df:
+                self.layers[r] = Layers.of(df)
+        return {r: self.layers[r] for r in (*self.inputs, *self.results)}
+
+    def _sweep(self, paths: Iterable[str]) -> None:
+        """Tables of revisions that are KEPT revisions old go, unless the current one reads them."""
+        self.tables.append(list(paths))
+        live = {p for x in self.layers.values() for p in x.paths}
+        while len(self.tables) > KEPT:
+            oldest = self.tables.pop(0)
+            self.tables[0] += [p for p in oldest if p in live]
+            drop(self.spark, [p for p in oldest if p not in live])
+
+    def _check_health(self) -> None:
+        """After a failure: what was there still holds, unless Spark itself is gone; then nothing can be told any more."""
+        try:
+            if self.spark._jsc.sc().isStopped():
+                self.health = "failed"
+        except Exception:
+            self.health = "failed"
 
     # Reads
 

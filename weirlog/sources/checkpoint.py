@@ -42,7 +42,7 @@ def _head(session: Session, metadata: Any, strict: bool) -> dict:
         "program_version": session.program_version,
         "metadata": metadata,
     }
-    return head | ({"lowering_version": 2} if session.options.version == 2 else {})
+    return head | ({"lowering_version": 2} if session.options.version == 2 else {}) | ({"feeds": dict(session.feeds)} if session.feeds else {})
 
 
 def _digest(value: Mapping) -> str:
@@ -117,10 +117,16 @@ def _take(session: Session, value: Mapping, inputs: Mapping) -> Any:
     trial.inputs = dict(inputs)
     trial.install_program(program_of(value["rules"], value["schemas"], value["operators"]))
     session.program, session.inputs, session.results, session.health = trial.program, trial.inputs, trial.results, "healthy"
-    session.revision, session.program_version = value["revision"], value["program_version"]
+    session.revision, session.program_version, session.feeds = value["revision"], value["program_version"], dict(value.get("feeds", {}))
     return value["metadata"]
 
 
+def pin(session: Session) -> str:
+    """A digest of what a restored program must be: canonical rules, schemas, operators and lowering."""
+    program = session._installed()
+    return _digest({"rules": [c.text for c in program.clauses], "schemas": {n: s.to_json() for n, s in program.schemas.items()}, "operators": [o.to_json() for o in program.operators], "lowering": session.options.version})
+
+
 def restore(session: Session, path: str | Path) -> Any:
     return restore_value(session, json.loads(Path(path).read_text()))
 
