@@ -3,7 +3,8 @@
 A source has the columns op ('insert' or 'delete') and the relation's fields f0, f1, ...; within a batch the
 change with the largest `order` value wins for each fact. A batch stays a DataFrame: it is compared with
 the input by joins and never passes the driver. The batch's number is the admission key, so a batch that
-the stream repeats after a failure is applied once.
+the stream repeats after a failure is applied once. Numbers only rise; the last one is kept by the session under the
+feed's name and goes with its checkpoints, so it holds after a restart too.
 """
 
 from __future__ import annotations
@@ -21,15 +22,14 @@ from weirlog.types import RuleError
 class Feed:
     """Applies change batches to one input relation of a session."""
 
-    def __init__(self, session: Session, relation: str, order: str | None = None, listen: Callable[[int, Applied], None] | None = None) -> None:
+    def __init__(self, session: Session, relation: str, order: str | None = None, listen: Callable[[int, Applied], None] | None = None, name: str | None = None) -> None:
         if relation not in session.schemas or not session.schemas[relation].input:
             raise RuleError(f"{relation} is not an input relation")
-        self.session, self.relation, self.order, self.listen = session, relation, order, listen
-        self.done: dict[int, int] = {}
+        self.session, self.relation, self.order, self.listen, self.name = session, relation, order, listen, name or relation
 
     def apply(self, batch: DataFrame, key: int) -> None:
         """One batch of changes; a key that was applied before is a lookup."""
-        if key in self.done:
+        if key <= self.session.feeds.get(self.name, -1):
             return
         session, schema = self.session, self.session.schemas[self.relation]
         columns = schema.columns
@@ -43,7 +43,7 @@ class Feed:
         come = part("insert").distinct().join(old, columns, "left_anti").select(*columns)
         gone = part("delete").distinct().join(old, columns, "left_semi").select(*columns)
         applied = session._advance({self.relation: (old, come, gone)}, self.listen is not None)
-        self.done[key] = applied.revision
+        self.session.feeds[self.name] = key
         if self.listen:
             self.listen(key, applied)
 

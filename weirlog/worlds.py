@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import re
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -19,6 +21,7 @@ from weirlog.types import RuleError, row
 #: Limits of a world's admissions.
 MOST_CHANGES, MOST_CHANGE_BYTES, MOST_RECORDS, MOST_EFFECTS = 1000, 256 << 10, 4096, 1024
 MOST_FROZEN_BYTES, MOST_FROZEN_ROWS = 64 << 20, 1_000_000
+NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.-]{0,127}")
 STATES = ("created", "starting", "running", "stopping", "stopped", "failed", "interrupted")
 
 
@@ -64,17 +67,41 @@ class World:
     receipts: list[dict] = field(default_factory=list)
 
     def start(self, restore_from: str | Path | None = None) -> int:
+        """A new generation, empty or from a checkpoint of this world, whose records of admissions, effects and receipts it takes over."""
         if self.state in ("starting", "running", "stopping"):
             raise RuleError(f"World {self.name} is {self.state}")
         self.state, session = "starting", Session(self.spark)
         try:
-            checkpoint.restore(session, restore_from) if restore_from else self.install(session)
+            told = self._restored(session, restore_from) if restore_from else self.install(session) and {}
         except Exception:
             self.state = "failed"
             raise
+        for key, value in (told or {}).items():
+            setattr(self, key, value)
         self.session, self.generation, self.state = session, self.generation + 1, "running"
         return self.generation
 
+    def _restored(self, session: Session, path: str | Path) -> dict:
+        """What the checkpoint tells of this world, once its program, lowering and ports are those that the world installs."""
+        told = checkpoint.restore(session, path) or {}
+        if told.get("world", self.name) != self.name:
+            raise RuleError(f"The checkpoint is of world {told['world']}")
+        if "pin" in told:
+            fresh = Session(self.spark)
+            self.install(fresh)
+            if told["pin"] != checkpoint.pin(fresh):
+                raise RuleError("The checkpoint's program is not the one that this world installs")
+            if told["ports"] != self._ports():
+                raise RuleError("The checkpoint's ports are not this world's")
+        found = {k: told[k] for k in ("admissions", "effects", "receipts", "frozen") if k in told}
+        for record in found.get("admissions", {}).values():
+            if record["state"] == "applied":  # and saved, since it is here
+                record["state"] = "durable"
+        return found | {"generation": max(self.generation, told.get("generation", 0))}
+
+    def _ports(self) -> dict | None:
+        return {"inputs": self.ports.inputs, "outputs": self.ports.outputs} if self.ports else None
+
     def stop(self) -> None:
         self._running()
         self.state, self.session = "stopped", None
@@ -126,6 +153,7 @@ class World:
             raise
         except Exception:
             record["state"], self.state = "uncertain", "failed"
+            session.health = "failed"  # nobody knows what was applied: this session serves no more
             raise
         record |= {"state": "applied", "applied_revision": done["revision"]}
         if publish:
@@ -178,7 +206,9 @@ class World:
         return run_scenarios(fresh, self.scenarios)
 
     def save(self, path: str | Path) -> str:
-        return checkpoint.save(self._running(), path, {"world": self.name, "generation": self.generation, "admissions": self.admissions, "effects": self.effects})
+        session = self._running()
+        told = {"world": self.name, "generation": self.generation, "pin": checkpoint.pin(session), "ports": self._ports()}
+        return checkpoint.save(session, path, told | {"admissions": self.admissions, "effects": self.effects, "receipts": self.receipts, "frozen": self.frozen})
 
     def freeze(self, outputs: Sequence[str], generation: int, revision: int) -> dict:
         """Writes complete outputs and a checkpoint under the names of their content; admissions wait for confirm()."""
@@ -226,17 +256,50 @@ class World:
 
 
 class Worlds:
-    """The worlds of one manager, by name."""
+    """The worlds of one manager, by name. With a folder names are reserved there, with what a world was forked from, and stay so after a restart."""
 
-    def __init__(self, spark: Any) -> None:
-        self.spark, self.worlds = spark, {}
+    def __init__(self, spark: Any, folder: str | Path | None = None) -> None:
+        self.spark, self.worlds, self.folder = spark, {}, Path(folder) if folder else None
 
-    def create(self, name: str, install: Callable[[Session], Any], **more) -> World:
+    def _reserve(self, name: str, lineage: Mapping | None) -> None:
         if name in self.worlds:
             raise RuleError(f"World {name} exists")
+        if self.folder:
+            if not NAME.fullmatch(name):
+                raise RuleError(f"Invalid world name {name!r}")
+            self.folder.mkdir(parents=True, exist_ok=True)
+            try:
+                with open(self.folder / f"{name}.json", "x") as out:
+                    json.dump({"name": name, "lineage": dict(lineage) if lineage else None}, out)
+                    out.flush()
+                    os.fsync(out.fileno())
+            except FileExistsError:
+                raise RuleError(f"World {name} exists") from None
+
+    def create(self, name: str, install: Callable[[Session], Any], **more) -> World:
+        self._reserve(name, None)
         self.worlds[name] = World(self.spark, name, install, **more)
         return self.worlds[name]
 
+    def open(self, name: str, install: Callable[[Session], Any], **more) -> World:
+        """A world whose name an earlier manager reserved in the folder; start it from its checkpoint."""
+        self.lineage(name)
+        return self.worlds.setdefault(name, World(self.spark, name, install, **more))
+
+    def lineage(self, name: str) -> dict | None:
+        path = self.folder / f"{name}.json" if self.folder and NAME.fullmatch(name) else None
+        if path is None or not path.exists():
+            raise RuleError(f"Unknown world {name}")
+        return json.loads(path.read_text())["lineage"]
+
+    def fork(self, source: str, name: str, boundary: str | None = None) -> World:
+        """A world of a new name from another one's frozen boundary, or from its present."""
+        world = self.get(source)
+        lineage = {"world": source, "generation": world.generation, "revision": world.session.revision if world.session else None, "boundary": boundary}
+        self._reserve(name, lineage)
+        self.worlds[name] = world.fork(name, boundary)
+        return self.worlds[name]
+
     def get(self, name: str) -> World:
         if name not in self.worlds:
             raise RuleError(f"Unknown world {name}")
