@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from weirlog.compose import compose
 from weirlog.plans.check import program_of
 from weirlog.plans.fixpoint import evaluate
+from weirlog.reports import REPORT_SQL, REPORTS
 from weirlog.requests import with_requests
 from weirlog.session import Session
 from weirlog.sources import checkpoint
@@ -88,7 +89,7 @@ NEXT = {"next": Input("conversations", [TURN, node("(turn + 1)")], "int int")}
 CLOSURE = "edge(X,Y) :- next(X,Y), turn(_,_,_,X), turn(_,_,_,Y). "
 CLOSED = {"edge": "int int", "path": "int int"}
 LINEAR = "path(X,Y) :- edge(X,Y). path(X,Z) :- path(X,Y), edge(Y,Z). "
-TRADE = {"trade": Input("lineitem", ["l_orderkey", "l_suppkey", "l_quantity", "l_discount"], "int int double double"), "orders": Input("orders", ["o_orderkey", "o_custkey"], "int int"), "double": Input("supplier", ["s_suppkey", "s_suppkey + 1000000000"], "int int")}
+TRADE = {"trade": Input("lineitem", ["l_orderkey", "l_suppkey"], "int int"), "orders": Input("orders", ["o_orderkey", "o_custkey"], "int int"), "double": Input("supplier", ["s_suppkey", "s_suppkey + 1000000000"], "int int")}
 
 PROGRAMS: dict[str, Query] = {
     "projection_set": Query("ps(P,S) :- item(_,P,S,_).", ITEMS, {"ps": "int int"}, "ps", "partkey suppkey"),
@@ -118,11 +119,12 @@ PROGRAMS: dict[str, Query] = {
     "mutual_recursion": Query(CLOSURE + "even(X) :- turn(_,0,_,X). odd(Y) :- even(X), edge(X,Y). even(Y) :- odd(X), edge(X,Y). side(X,true) :- even(X). side(X,false) :- odd(X).", TURNS | NEXT, {"edge": "int int", "even": "int", "odd": "int", "side": "int bool"}, "side", "node is_even"),
     "unseeded_recursion": Query("loop(R) :- loop(R), region(R).", REGIONS, {"loop": "int"}, "loop", "regionkey"),
     "unreachable": Query(CLOSURE + LINEAR + 'seen(X) :- turn(_,_,"system",X). seen(Y) :- turn(_,_,"system",X), path(X,Y). unseen(X) :- turn(_,_,_,X), !seen(X).', TURNS | NEXT, CLOSED | {"seen": "int", "unseen": "int"}, "unseen", "node"),
-    "components": Query("link(C,S) :- trade(O,P,Q,D), Q >= 50.0, D >= 0.1, orders(O,C), double(P,S). ends(C) :- link(C,_). ends(S) :- link(_,S).", TRADE, {"link": "int int", "ends": "int", "labels": "int int"}, "labels", "node label", ({"type": "large_small_star", "vertices": "ends", "edges": "link", "output": "labels"},)),
+    "components": Query("link(C,S) :- trade(O,P), orders(O,C), double(P,S). ends(C) :- link(C,_). ends(S) :- link(_,S).", TRADE, {"link": "int int", "ends": "int", "labels": "int int"}, "labels", "node label", ({"type": "large_small_star", "vertices": "ends", "edges": "link", "output": "labels"},)),
     "event_negation": Query('bought(U) :- event(U,"purchase",_). failed(U) :- event(U,"error",V), V > 200.0. smooth(U) :- bought(U), !failed(U).', {"event": Input("events", ["user_id", "event_type", "value"], "int string double")}, {"bought": "int", "failed": "int", "smooth": "int"}, "smooth", "user_id"),
 }
 
-EDGES = "edge AS (SELECT a.conv_id * 1000 + a.turn AS x, b.conv_id * 1000 + b.turn AS y FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE turn < 7) a JOIN (SELECT DISTINCT conv_id, turn FROM conversations) b ON a.conv_id * 1000 + a.turn + 1 = b.conv_id * 1000 + b.turn)"
+SQL_NODE = "(conv_id * 1000 + turn % 1000 + (turn - turn % 1000) * 1000000000000)"
+EDGES = f"place AS (SELECT DISTINCT conv_id, turn, {SQL_NODE} AS n FROM conversations), edge AS (SELECT a.n AS x, b.n AS y FROM place a JOIN place b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn)"
 PATHS = f"WITH RECURSIVE {EDGES}, path(x, y) AS (SELECT x, y FROM edge UNION SELECT path.x, edge.y FROM path JOIN edge ON path.y = edge.x)"
 
 SQL: dict[str, str] = {
@@ -150,10 +152,10 @@ SQL: dict[str, str] = {
     "constant_comparison": "SELECT DISTINCT CAST(r_regionkey AS BIGINT) AS regionkey FROM region",
     "closure": f"{PATHS} SELECT DISTINCT x AS source, y AS target FROM path",
     "nonlinear_closure": f"{PATHS} SELECT DISTINCT x AS source, y AS target FROM path",
-    "mutual_recursion": f"WITH RECURSIVE {EDGES}, walk(x, e) AS (SELECT conv_id * 1000 + turn, TRUE FROM conversations WHERE turn = 0 UNION SELECT edge.y, NOT walk.e FROM walk JOIN edge ON walk.x = edge.x) SELECT DISTINCT x AS node, e AS is_even FROM walk",
+    "mutual_recursion": f"WITH RECURSIVE {EDGES}, walk(x, e) AS (SELECT {SQL_NODE}, TRUE FROM conversations WHERE turn = 0 UNION SELECT edge.y, NOT walk.e FROM walk JOIN edge ON walk.x = edge.x) SELECT DISTINCT x AS node, e AS is_even FROM walk",
     "unseeded_recursion": "SELECT CAST(r_regionkey AS BIGINT) AS regionkey FROM region WHERE FALSE",
-    "unreachable": f"{PATHS}, root AS (SELECT DISTINCT conv_id * 1000 + turn AS x FROM conversations WHERE role = 'system'), seen AS (SELECT x FROM root UNION SELECT y FROM path JOIN root USING (x)) SELECT DISTINCT conv_id * 1000 + turn AS node FROM conversations WHERE conv_id * 1000 + turn NOT IN (SELECT x FROM seen)",
-    "components": "WITH RECURSIVE link AS (SELECT DISTINCT o_custkey AS a, s_suppkey + 1000000000 AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity >= 50 AND l_discount >= 0.1), ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link), reach(node, label) AS (SELECT a, a FROM ways UNION SELECT ways.b, reach.label FROM reach JOIN ways ON reach.node = ways.a) SELECT node, min(label) AS label FROM reach GROUP BY node",
+    "unreachable": f"{PATHS}, root AS (SELECT DISTINCT {SQL_NODE} AS x FROM conversations WHERE role = 'system'), seen AS (SELECT x FROM root UNION SELECT y FROM path JOIN root USING (x)) SELECT n AS node FROM place WHERE n NOT IN (SELECT x FROM seen)",
+    "components": "WITH RECURSIVE link AS (SELECT DISTINCT o_custkey AS a, s_suppkey + 1000000000 AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey), ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link), reach(node, label) USING KEY (node) AS (SELECT a, a FROM ways UNION SELECT ways.b, min(reach.label) FROM reach JOIN ways ON reach.node = ways.a JOIN recurring.reach AS had ON had.node = ways.b GROUP BY ways.b, had.label HAVING min(reach.label) < had.label) SELECT node, label FROM reach",
     "event_negation": "SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 200)",
 }
 
@@ -318,3 +320,5 @@ SQL |= {
     "change_feed": SQL["event_negation"],
 }
 QUERIES |= {f.__name__: f for f in (apply_then_retract, delta_weights, why_bindings, bounded_page, checkpoint_roundtrip, composition_pipeline, composition_nested, request_results, scenario_report, change_feed)}
+SQL |= REPORT_SQL | {"cyclic_wiring": SQL["closure"]}
+QUERIES |= REPORTS
