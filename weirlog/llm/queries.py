@@ -107,5 +107,27 @@ proper AS (SELECT DISTINCT t[1:i] AS t FROM (SELECT t, unnest(range(1, len(t)))
 SELECT conv_id, CAST(len(t) AS BIGINT) AS n_turns, n_copies,
        list_reduce(list_transform(t, lambda x: '<|im_start|>' || replace(x.role, '<|', '< |') || chr(10) || replace(x.text, '<|', '< |') || '<|im_end|>' || chr(10)), lambda a, b: a || b) AS text
 FROM whole WHERE t NOT IN (SELECT t FROM proper)
+""",
+    "op7_jaccard_join": r"""
+WITH RECURSIVE doc AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+gram AS (
+  SELECT DISTINCT r, array_to_string(w[i + 1 : i + l], ' ') AS g
+  FROM (SELECT r, w, l, unnest(range(0, len(w) - l + 1)) AS i FROM (SELECT r, w, least(len(w), 5) AS l FROM doc WHERE len(w) > 0))),
+told AS (SELECT r, sha256(string_agg(g, chr(10) ORDER BY g)) AS k, count(*) AS n FROM gram GROUP BY r),
+sets AS (SELECT k, n, min(r) AS r, count(*) AS copies FROM told GROUP BY k, n),
+one AS (SELECT k, g FROM sets JOIN gram USING (r)),
+pair AS (SELECT a.k AS x, b.k AS y, count(*) AS c FROM one a JOIN one b USING (g) WHERE a.k <> b.k GROUP BY a.k, b.k),
+link AS (SELECT x, y, b.copies FROM pair JOIN sets a ON a.k = x JOIN sets b ON b.k = y WHERE c >= 0.8 * (a.n + b.n - c) - 1e-9),
+class(k, root) USING KEY (k) AS (
+  SELECT k, k FROM sets
+  UNION SELECT had.k, min(class.root) FROM class JOIN link ON link.x = class.k JOIN recurring.class AS had ON had.k = link.y GROUP BY had.k, had.root HAVING min(class.root) < had.root),
+name AS (SELECT root, min(doc_id) AS class_id FROM class JOIN told USING (k) JOIN doc USING (r) GROUP BY root),
+links AS (SELECT x AS k, sum(copies) AS n_links FROM link GROUP BY x)
+SELECT doc_id, CASE WHEN k IS NULL THEN doc_id ELSE class_id END AS class_id, CAST(coalesce(sets.copies - 1 + coalesce(n_links, 0), 0) AS BIGINT) AS n_links,
+       CAST(coalesce(sets.copies, 1) AS BIGINT) AS n_copies, CAST(coalesce(sets.n, 0) AS BIGINT) AS n_shingles
+FROM doc LEFT JOIN told USING (r) LEFT JOIN sets USING (k) LEFT JOIN class USING (k) LEFT JOIN name USING (root) LEFT JOIN links USING (k)
 """,
 }
