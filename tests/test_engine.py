@@ -18,30 +18,32 @@ def schemas(inputs, outputs):
 
 
 def test_closure_negation_and_retraction(spark):
+    """Rivers: what lies downstream, which springs stay clean, and what holds while no dam is there at all."""
     s = Session(spark)
-    rules = """path(X,Y) :- edge(X,Y). trans : path(X,Z) :- path(X,Y), edge(Y,Z).
-    eligible(X) :- node(X), !path(X,X), !blocked(X,_). free(X) :- node(X), !blocked(_,_). odd(X) :- node(X), !blocked("k",2). loop(X) :- loop(X)."""
-    s.install(rules, schemas({"edge": "string string", "blocked": "string int", "node": "string"}, {"path": "string string", "eligible": "string", "free": "string", "odd": "string", "loop": "string"}))
-    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")]
-    s.apply([change("insert", "edge", *e) for e in edges] + [change("insert", "node", x) for x in "ad"])
-    assert len(s.rows("path")) == 12 and s.rows("eligible") == [("d",)] and s.rows("free") == [("a",), ("d",)] and s.rows("loop") == []
-    done = s.apply([change("delete", "edge", "b", "c"), change("insert", "blocked", "k", 2)])
-    assert s.rows("path") == [("a", "b"), ("c", "a"), ("c", "b"), ("c", "d")]
-    assert sorted(map(tuple, done.deltas["eligible"].collect())) == [("a", 1)]
-    assert sorted(map(tuple, done.deltas["free"].collect())) == [("a", -1), ("d", -1)] and s.rows("odd") == []
-    assert "loop" not in done.deltas
-    assert s.why(1).columns == ["X", "Y", "Z"] and [tuple(r) for r in s.why(1).collect()] == [("c", "a", "b")]
-
-
-def test_typed_values_and_legacy_symbols(spark):
+    rules = """down(A,B) :- flows(A,B). further : down(A,C) :- down(A,B), flows(B,C).
+    clean(A) :- spring(A), !down(A,A), !dammed(A,_). wild(A) :- spring(A), !dammed(_,_). calm(A) :- spring(A), !dammed("ems",2). ring(A) :- ring(A)."""
+    s.install(rules, schemas({"flows": "string string", "dammed": "string int", "spring": "string"}, {"down": "string string", "clean": "string", "wild": "string", "calm": "string", "ring": "string"}))
+    flows = [("aar", "bode"), ("bode", "cher"), ("cher", "aar"), ("cher", "doubs")]
+    s.apply([change("insert", "flows", *e) for e in flows] + [change("insert", "spring", x) for x in ("aar", "doubs")])
+    assert len(s.rows("down")) == 12 and s.rows("clean") == [("doubs",)] and s.rows("wild") == [("aar",), ("doubs",)] and s.rows("ring") == []
+    done = s.apply([change("delete", "flows", "bode", "cher"), change("insert", "dammed", "ems", 2)])
+    assert s.rows("down") == [("aar", "bode"), ("cher", "aar"), ("cher", "bode"), ("cher", "doubs")]
+    assert sorted(map(tuple, done.deltas["clean"].collect())) == [("aar", 1)]
+    assert sorted(map(tuple, done.deltas["wild"].collect())) == [("aar", -1), ("doubs", -1)] and s.rows("calm") == []
+    assert "ring" not in done.deltas
+    assert s.why(1).columns == ["A", "B", "C"] and [tuple(r) for r in s.why(1).collect()] == [("cher", "aar", "bode")]
+
+
+def test_typed_values_and_bare_words(spark):
+    """Constants of every type in heads and bodies, signed zeros as one value, and true as a word where texts are expected."""
     s = Session(spark)
-    s.install("result(E,false,-1.25e2) :- seed(E,true,D). echo(D) :- seed(_,_,D), D >= 0.0.", schemas({"seed": "int bool double"}, {"result": "int bool double", "echo": "double"}))
-    s.apply([change("insert", "seed", 1, True, -0.0), change("insert", "seed", 1, True, 0.0), change("insert", "seed", 2, False, 1.0)])
-    assert s.rows("result") == [(1, False, -125.0)] and [str(x) for (x,) in s.rows("echo")] == ["0.0", "1.0"]
+    s.install("grade(4.5e-1,N,true) :- meter(N,false,_). warm(T) :- meter(_,_,T), T > -0.5.", schemas({"meter": "int bool double"}, {"grade": "double int bool", "warm": "double"}))
+    s.apply([change("insert", "meter", 8, False, -0.0), change("insert", "meter", 8, False, 0.0), change("insert", "meter", 9, True, 3.0), change("insert", "meter", 9, True, -7.0)])
+    assert s.rows("grade") == [(0.45, 8, True)] and [str(x) for (x,) in s.rows("warm")] == ["0.0", "3.0"]
     t = Session(spark)
-    t.install("result(E,false) :- true(E,true). result(E,S) :- false(E,S), S = true.", schemas({"true": "int string", "false": "int string"}, {"result": "int string"}))
-    t.apply([change("insert", "true", 1, "true"), change("insert", "false", 2, "true"), change("insert", "false", 3, "x")])
-    assert t.rows("result") == [(1, "false"), (2, "true")]
+    t.install("said(W,yes) :- heard(W,true). said(W,V) :- heard(W,V), V \\= true.", schemas({"heard": "int string"}, {"said": "int string"}))
+    t.apply([change("insert", "heard", 1, "true"), change("insert", "heard", 2, "False"), change("insert", "heard", 3, "yes")])
+    assert t.rows("said") == [(1, "yes"), (2, "False"), (3, "yes")]
 
 
 def test_transactions_are_whole(spark):
@@ -141,7 +143,7 @@ def test_random_programs_against_sets(spark):
 
 def test_requests(spark):
     r = Requests(Session(spark), "ask")
-    r.install("reviewed(E,R,O) :- agent_result(E,R,O).", schemas({}, {"reviewed": "string int string"}))
+    r.install("told(O,E) :- agent_result(E,R,O), R >= 1.", schemas({}, {"told": "string string"}))
     first = r.submit("e", 1, "p")
     assert r.submit("e", 1, "p") == first and r.status(first)["state"] == "pending"
     with pytest.raises(RuleError, match="another payload"):
@@ -153,10 +155,10 @@ def test_requests(spark):
     with pytest.raises(RuleError, match="already claimed"):
         r.claim(first)
     second = r.submit("e", 2, "p")
-    assert r.complete(first, "late") == {"request": first, "output": "late", "fresh": False} and r.session.rows("reviewed") == []
+    assert r.complete(first, "late") == {"request": first, "output": "late", "fresh": False} and r.session.rows("told") == []
     r.claim(second)
     r.complete(second, "done")
-    assert r.complete(second, "done")["fresh"] and r.session.rows("reviewed") == [("e", 2, "done")]
+    assert r.complete(second, "done")["fresh"] and r.session.rows("told") == [("done", "e")]
     with pytest.raises(RuleError, match="another response"):
         r.complete(second, "other")
     with pytest.raises(RuleError, match="behind"):

@@ -121,10 +121,10 @@ def number(text: str) -> int | float:
             raise SyntaxProblem(f"bad integer {text}")
         return value
     if not re.fullmatch(r"-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?", text):
-        raise SyntaxProblem("Expected finite decimal Float64")
+        raise SyntaxProblem(f"bad number {text}")
     real = float(text)
     if not math.isfinite(real) or real == 0 and re.search("[1-9]", re.split("[eE]", text)[0]):
-        raise SyntaxProblem("Float64 overflow, underflow or nonfinite value")
+        raise SyntaxProblem(f"{text} is beyond the range of a double")
     return real + 0.0
 
 
@@ -209,6 +209,8 @@ class _Reader:
 
     def arguments(self) -> tuple[Term, ...]:
         self.expect("(")
+        if self.accept(")"):
+            return ()  # no relation has this arity: the check refuses it
         terms = [self.term()]
         while self.accept(","):
             terms.append(self.term())

@@ -370,15 +370,15 @@ def forked_world(spark: SparkSession, sf_dir: str) -> DataFrame:
 def request_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of a registered operation from submission to completion."""
     requests = Requests(Session(spark), "translate")
-    told = relations(known="string int string")
-    requests.install("known(E,R,O) :- agent_result(E,R,O).", told)
+    told = relations(known="string string")
+    requests.install("known(O,E) :- agent_result(E,R,O), R >= 1.", told)
     first, other = requests.submit("n1", 1, "uno"), requests.submit("n2", 1, "dos")
     requests.claim(first)
     requests.claim(other)
     second = requests.submit("n1", 2, "eins")
     requests.complete(first, "one")
     found = [(name, s["state"], s["fresh"], s["output"]) for name, s in (("n1 1", requests.status(first)), ("n1 2", requests.status(second)), ("n2 1", requests.status(other)))]
-    attempts = {"stale": lambda: requests.submit("n1", 1, "uno"), "unclaimed": lambda: requests.complete(second, "x"), "private": lambda: requests.install("known(E,R,O) :- agent_intent(E,O,R,_).", told)}
+    attempts = {"stale": lambda: requests.submit("n1", 1, "uno"), "unclaimed": lambda: requests.complete(second, "x"), "private": lambda: requests.install("known(O,E) :- agent_intent(E,O,_,_).", told)}
     return spark.createDataFrame(found + [(k, refused(x), False, None) for k, x in attempts.items()], "request string, state string, fresh boolean, output string")
 
 
