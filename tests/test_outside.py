@@ -29,6 +29,12 @@ def test_operations_by_name(spark, tmp_path):
     done = one.execute("apply_changes", {"changes": [change("insert", "source", 1, "a"), change("insert", "source", 2, "b")]})
     assert done["revision"] == 2 and sorted(done["deltas"]["echo"]) == [[1, "a", 1], [2, "b", 1]]
     assert one.execute("query", {"relation": "echo"}) == [[1, "a"], [2, "b"]]
+    more = one.execute("apply_changes", {"changes": [change("insert", "source", i, "c") for i in (9, 7, 8)], "max_rows": 2})
+    assert more["deltas"]["echo"] == [[7, "c", 1], [8, "c", 1]] and more["more"] == {"echo": [8, "c", 1]}
+    assert one.execute("delta_rows", {"relation": "echo", "after": more["more"]["echo"]}) == {"rows": [[9, "c", 1]], "after": None}
+    assert one.execute("apply_changes", {"changes": [change("delete", "source", i, "c") for i in (9, 7, 8)]})["revision"] == 4
+    with pytest.raises(RuleError, match="changed nothing"):
+        one.execute("delta_rows", {"relation": "source"})
     page = one.execute("query_rows", {"relation": "source", "max_rows": 1})
     assert page["rows"] == [[1, "a"]] and page["total"] == 2 and page["truncated"]
     assert {r["name"]: r["count"] for r in one.execute("relations")} == {"source": 2, "echo": 2}

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
 
 from weirlog.registry import Registry
 from weirlog.requests import Requests
-from weirlog.session import Session
-from weirlog.types import RuleError
+from weirlog.session import MOST_ROWS, Session, beyond
+from weirlog.types import RuleError, row
 
 REGISTRY = {f"processor_{n}": n for n in "create publish fork get list search archive restore".split()}
 REQUESTS = {"submit_input": "submit", "claim_request": "claim", "complete_request": "complete", "request_status": "status"}
@@ -23,6 +23,7 @@ class Instance:
     registry: Registry | None = None
     requests: Requests | None = None
     pinned: bool = False
+    deltas: dict[str, Any] = field(default_factory=dict)
 
     def execute(self, operation: str, arguments: Mapping[str, Any] | None = None) -> Any:
         """Registry operations go first; then a failed session tells only its status and a pinned one refuses installs."""
@@ -61,10 +62,25 @@ class Instance:
             self.session.install(found["rules"], found["schemas"], found.get("operators", ()))
         return self.session.info()
 
-    def _apply_changes(self, changes: Any) -> dict:
+    def _apply_changes(self, changes: Any, max_rows: int = MOST_ROWS) -> dict:
+        """Deltas come with at most max_rows rows a relation; `more` tells which have more, for delta_rows."""
         done = self.session.apply(changes)
-        deltas = {n: [list(r) for r in df.collect()] for n, df in done.deltas.items()}  # a transaction's changes
-        return {"revision": done.revision, "deltas": {n: rows for n, rows in deltas.items() if rows}}
+        self.deltas = done.deltas
+        pages = {n: self._delta_rows(n, max_rows) for n in done.deltas}
+        told = {"revision": done.revision, "deltas": {n: p["rows"] for n, p in pages.items() if p["rows"]}}
+        return told | ({"more": more} if (more := {n: p["after"] for n, p in pages.items() if p["after"]}) else {})
+
+    def _delta_rows(self, relation: str, max_rows: int = MOST_ROWS, after: Any = None) -> dict:
+        """A page of what the last transaction changed in a relation, in the order of all fields; after: the last row of the page before."""
+        if relation not in self.deltas:
+            raise RuleError(f"The last transaction changed nothing in {relation}")
+        if not 1 <= max_rows <= MOST_ROWS:
+            raise RuleError(f"A page has 1 to {MOST_ROWS} rows")
+        df, schema = self.deltas[relation], self.session.schemas[relation]
+        if after is not None:
+            df = df.where(beyond(schema, row(list(after)[: len(schema.fields)], schema, relation)))
+        rows = [list(r) for r in df.orderBy(*schema.columns).limit(max_rows + 1).collect()]
+        return {"rows": rows[:max_rows], "after": rows[max_rows - 1] if len(rows) > max_rows else None}
 
     def _relations(self) -> list[dict]:
         return self.session.relations()

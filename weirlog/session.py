@@ -333,7 +333,7 @@ class Session:
                 raise RuleError("Invalid cursor") from None
             if told != json.loads(compact(bound)):
                 raise RuleError("The cursor belongs to another owner, revision, relation or filter")
-            df = df.where(_beyond(schema, last))
+            df = df.where(beyond(schema, last))
         found, size, truncated = [], 2, False
         for r in df.orderBy(*schema.columns).limit(max_rows + 1).collect():
             text = compact(list(r))
@@ -371,7 +371,7 @@ def _literal(value: Any, kind: str) -> Column:
     return F.lit(value).cast(SPARK_TYPES[kind])
 
 
-def _beyond(schema: Schema, last: Sequence) -> Column:
+def beyond(schema: Schema, last: Sequence) -> Column:
     """Rows after the given one in the order of all columns."""
     after = F.lit(False)
     for c, value, kind in reversed(list(zip(schema.columns, last, schema.fields, strict=True))):
