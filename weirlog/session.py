@@ -96,15 +96,18 @@ class Session:
         return self.install_program(program_of(rules, schemas, operators))
 
     def install_program(self, program: Program) -> int:
-        if self.program and any(not self.inputs[r].isEmpty() for r in self.inputs):
+        held = any(not df.isEmpty() for df in self.inputs.values())
+        if self.program and held:
             for r, old in self.program.schemas.items():
                 if old.input and program.schemas.get(r) != old:
                     raise RuleError(f"Input schema of {r} cannot change while facts are retained")
         inputs = {r: self.inputs[r] if r in self.inputs else empty(self.spark, program.schemas[r]) for r in program.inputs}
         with recorded() as passing:
-            found = evaluate(self.spark, program, inputs, self._exports(program), stored=inputs)
+            found = evaluate(self.spark, program, inputs, self._exports(program), stored=inputs) if held else {}
         with recorded() as kept:
             tables = {r: written(df, "result") for r, df in found.items()}
+        if not held:  # every rule needs a fact
+            tables = {r: (empty(self.spark, program.schemas[r]), None) for r in program.needed(self._exports(program)) if r not in inputs}
         drop(self.spark, passing)
         self.layers = {r: x for r, x in self.layers.items() if r in inputs} | {r: Layers.of(*x) for r, x in tables.items()}
         self.program, self.inputs, self.results = program, inputs, {r: df for r, (df, _) in tables.items()}
@@ -194,6 +197,7 @@ class Session:
     def _advance(self, made: Mapping[str, tuple[DataFrame, DataFrame, DataFrame]], deltas: bool) -> Applied:
         """Takes over new inputs: made holds by relation its old rows, what comes and what goes. Only what differs is written."""
         program, layers = self._installed(), dict(self._layers())
+        first = not any(x.n_base or x.n_other for x in layers.values())
         old = {r: x.rows for r, x in layers.items()}
         new, changes = dict(old), {}
         with recorded() as passing:
@@ -202,6 +206,11 @@ class Session:
                     self._take(r, Change.of(come, gone), layers, new, changes)
                 strata = Strata(self.spark, program, old, new, changes)
                 stale = program.affected(changes) & set(self.results)
+                if first and stale:  # nothing was there: all that follows has come
+                    found = evaluate(self.spark, program, {r: new[r] for r in program.inputs}, stale, stored=program.inputs)
+                    for r in stale:
+                        self._take(r, Change.of(found[r], found[r].limit(0)), layers, new, changes)
+                    stale = set()
                 for stratum in program.strata:
                     if not stale.isdisjoint(stratum):
                         for r, change in strata.of(stratum).items():
