@@ -67,12 +67,13 @@ def learn(labelled: DataFrame, per_language: int = 500, dictionary_bytes: int =
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
     few = common.bounded_sample(known, "lang", ["doc_id", "text"], per_language)
     few = common.materialise(few.select("lang", "doc_id", common.piece("text", longest).alias("text"), "_drawn"), "labelled")
+    drawn = sorted(((r.lang, r["_drawn"], r.doc_id is not None, r.doc_id or 0, r.text) for r in few.toLocalIterator()))  # partition by partition
     texts: dict[str, dict[bytes, None]] = {}
     taken: dict[str, int] = {}
-    for r in few.orderBy("lang", "_drawn", "doc_id", "text").toLocalIterator():
-        taken[r.lang] = taken.get(r.lang, 0) + 1
-        if taken[r.lang] <= per_language and (plain := letters(r.text)):
-            texts.setdefault(r.lang, {})[plain] = None
+    for lang, *_, text in drawn:
+        taken[lang] = taken.get(lang, 0) + 1
+        if taken[lang] <= per_language and (plain := letters(text)):
+            texts.setdefault(lang, {})[plain] = None
     return {lang: b" ".join(x)[:dictionary_bytes] for lang, x in sorted(texts.items(), key=lambda x: (-counts[x[0]], x[0]))}
 
 

@@ -128,17 +128,17 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 5000, least_texts
     met = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     met = common.materialise(met.select(common.piece("text", longest).alias("text"), "toxic"), "labelled")  # an id may have many texts
     few = common.bounded_sample(met, "toxic", ["text"], per_class, salt=1)
-    texts, taken = set(), Counter()
-    for r in few.orderBy("toxic", "_drawn", "text").toLocalIterator():
-        taken[r.toxic] += 1
-        if taken[r.toxic] <= per_class:
-            texts.add((r.text, r.toxic))
+    drawn = sorted((r.toxic, r["_drawn"], r.text) for r in few.toLocalIterator())  # partition by partition; about as many as the bound
+    texts = sorted((text, toxic) for kind in (0, 1) for toxic, _, text in [x for x in drawn if x[0] == kind][:per_class])
+    del drawn
     kinds = Counter(t for _, t in texts)
     if len(kinds) < 2:
         return Lexicon()
     seen = ({}, {})  # by pattern: texts of each kind
     beside, within, phrases = defaultdict(set), defaultdict(set), (Counter(), Counter())
-    read = [(folded(text), toxic) for text, toxic in sorted(texts)]
+    pool: dict[bytes, bytes] = {}
+    read = [([pool.setdefault(w, w) for w in folded(text)], toxic) for text, toxic in texts]  # a word is held once
+    del texts
     for words, toxic in read:
         own = set(words) | {w[:n] + b"*" for w in set(words) for n in (5, 6, 7) if len(w) > n}
         for w in own:
